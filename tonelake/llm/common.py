@@ -10,14 +10,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, rid, text)``: null texts become empty; ``rid`` is a hash of id and text.
+def keyed(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """``(doc_id, rid, text)``: null texts become empty; ``rid`` is a hash of id and text. ``carry``: ``row`` has the whole row.
 
     The pair (doc_id, rid) names a document. It depends on the row alone, so it stays the same when a lost task runs
     again; rows that repeat id and text share it.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("rid"), text.alias("text"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("rid"), text.alias("text"), *[F.struct("*").alias("row")] * carry)
 
 
 def same(*names: str) -> Column:

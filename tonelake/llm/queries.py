@@ -3,17 +3,43 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tonelake.llm import simhash
+from tonelake.llm import decontaminate, linededup, simhash, toxicity, wfst
 from tonelake.llm.common import table
 
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items found in them."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("rid")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether they decode to its text."""
+    return wfst.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
+
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=2)
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=2).select("doc_id", "fingerprint", "component_id")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines, lines cut as later copies, and the text that stays."""
+    return linededup.dedup_lines(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("text", 256))
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op3_toxicity": op3_toxicity,
+    "op4_sentencepiece": op4_sentencepiece,
     "op6_simhash": op6_simhash,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {}

@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonelake.llm.common import keyed, same
 from tonelake.plans.graph import connected_components
 from tonelake.sources.shared import materialize
 
@@ -46,16 +47,16 @@ def fingerprint(text: bytes, shingle: int, seed: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = 42) -> DataFrame:
-    """``(doc_id, fp)`` for every row, ``fp`` as a signed long."""
+    """``(doc_id, rid, fp)`` for every row: ``fp`` as a signed long, ``rid`` a hash of id and text (see keyed())."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t or b"", shingle, seed) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t, shingle, seed) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "rid", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = keyed(docs, id_col, text_col).withColumn("text", F.col("text").cast("binary"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, fp long")
+    return rows.mapInArrow(run, f"doc_id {kind}, rid long, fp long")
 
 
 def grid_cells(fps: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataFrame:
@@ -117,17 +118,26 @@ def links(fps: DataFrame, distance: int = 2, cell_rows: int = CELL_ROWS) -> Data
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, shingle: int = 5, seed: int = 42, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)``, one row per input row.
+    """``(doc_id, fingerprint, component_id, kept)``, one row per input row.
 
+    ``kept`` is the ``rid`` (hash of id and text) of the component's first row, by doc_id and then by ``rid``.
     ``component_id`` is the smallest doc_id reachable over links of ``distance`` differing bits at most. Null and
     empty texts have fingerprint zero and are linked like any other; a null doc_id keeps its row and counts only if
     its component has no other id. Repeated rows stay repeated. An empty table gives an empty result; other columns
     of ``docs`` are not read.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    least = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("least"))
     roots = connected_components(links(prints.select("fp").distinct(), distance, cell_rows))
     rooted = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(names, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    names = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    classes = rooted.join(names, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.rid").alias("kept"))
+    return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "kept")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that come first in their component of :func:`near_duplicates`, whole and each once."""
+    first = near_duplicates(docs, **options).select(F.col("component_id").alias("doc_id"), F.col("kept").alias("rid")).distinct()
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    rows = keyed(docs, id_col, text_col, carry=True).drop("text").alias("a").join(first.alias("b"), same("doc_id", "rid"), "left_semi")
+    return rows.groupBy("doc_id", "rid").agg(F.first("row").alias("row")).select("row.*")

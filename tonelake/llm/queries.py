@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.llm import decontaminate, linededup, simhash, toxicity, wfst
+from tonelake.llm import decontaminate, licences, linededup, packing, simhash, suffixdedup, topk, toxicity, warc, wfst
 from tonelake.llm.common import table
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +17,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("rid")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: bytes, bytes and runs removed as repeated 200-byte strings, and the hash of the rest."""
+    return suffixdedup.dedup_substrings(table(spark, sf_dir, "documents"), length=200).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
@@ -25,10 +31,30 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wfst.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=2).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph with a licence term, its family, and whether a template confirms it."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged index of the archives that the pages were written to, ordered by URL key and time."""
+    entries = warc.archive(table(spark, sf_dir, "pages"), min_bytes=0)
+    return entries.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as packed rows of 2048 token ids."""
+    return packing.pack(table(spark, sf_dir, "documents"), RANKS, length=2048)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, lines cut as later copies, and the text that stays."""
     return linededup.dedup_lines(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("text", 256))
@@ -36,10 +62,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_topk": op5_topk,
     "op6_simhash": op6_simhash,
+    "op7_licences": op7_licences,
+    "op8_warc": op8_warc,
+    "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+#: SQL for the operators that it can express; the tests hold the others against brute force.
+ORACLES: dict[str, str] = {
+    "op5_topk": """
+        WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, 65), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+              FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}

@@ -78,6 +78,7 @@ class Transducer:
                     raise ValueError("the model's normaliser has a character map; only rules for spaces are compiled")
                 self.prefix, self.squeeze = bool(f.get(3, 1)), bool(f.get(4, 1))
         self.arcs = {t: i for i, (t, k) in enumerate(zip(self.texts, self.kinds)) if k in (NORMAL, USER) and t}
+        self.floor = min(self.scores, default=0.0) - 10  # worse than any piece
         self.longest = max(map(len, self.arcs), default=1)
         self.bytes = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(self.texts, self.kinds)) if k == BYTE}
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
@@ -85,7 +86,13 @@ class Transducer:
         self.output = [bytes([int(t[3:5], 16)]) if k == BYTE else b" \xe2\x81\x87 " if k == UNKNOWN else b"" if k == CONTROL else t.replace(SPACE, " ").encode() for t, k in zip(self.texts, self.kinds)]
         # A word can be cut off before each space sign unless pieces hold a sign after another character.
         self.by_word = not any(SPACE in t.lstrip(SPACE) for t in self.arcs)
-        self.follows: dict[tuple[str, str], bool] = {}
+        self.follows: dict[str, dict[str, bool]] = {}
+        self.tree: dict = {}
+        for piece in self.arcs:
+            node = self.tree
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -110,44 +117,79 @@ class Transducer:
         return parts
 
     def _may_follow(self, left: str, right: str) -> bool:
-        known = self.follows.get((left, right))
-        if known is None:
-            known = left[-1] + right[0] not in self.beside or self._merged(left + right) == [left, right]
-            if len(self.follows) >= 8 * CACHED_WORDS:
-                self.follows.clear()
-            self.follows[left, right] = known
+        known = left[-1] + right[0] not in self.beside or self._merged(left + right) == [left, right]
+        if len(self.follows) >= CACHED_WORDS:
+            self.follows.clear()
+        self.follows.setdefault(left, {})[right] = known
         return known
 
     def path(self, text: str) -> list[str]:
         """Piece texts on the shortest path; single characters without an arc stand for their bytes."""
-        arcs, scores, longest = self.arcs, self.scores, self.longest
-        size = len(text)
-        cost: list[float | None] = [0.0] + [None] * size
-        last: list[str] = [""] * (size + 1)
-        floor = min(scores, default=0.0) - 10
+        return self._merge_path(text) if self.bpe else self._least_path(text)
+
+    def _least_path(self, text: str) -> list[str]:
+        """Least sum of negative scores, position by position."""
+        arcs, scores, size = self.arcs, self.scores, len(text)
+        cost, last = [0.0] + [float("inf")] * size, [""] * (size + 1)
         for end in range(1, size + 1):
-            for start in range(max(0, end - longest), end):
-                before = cost[start]
-                if before is None:
-                    continue
+            for start in range(max(0, end - self.longest), end):
                 piece = text[start:end]
                 arc = arcs.get(piece)
                 if arc is None and end - start > 1:
                     continue
-                if self.bpe:
-                    if start == 0 or self._may_follow(last[start], piece):
-                        cost[end], last[end] = 0.0, piece
-                        break
-                else:
-                    total = before - (scores[arc] if arc is not None else floor)
-                    if cost[end] is None or total < cost[end]:
-                        cost[end], last[end] = total, piece
+                total = cost[start] - (scores[arc] if arc is not None else self.floor)
+                if total < cost[end]:
+                    cost[end], last[end] = total, piece
         out = []
         while size:
             out.append(last[size])
             size -= len(last[size])
         return out[::-1]
 
+    def _merge_path(self, text: str) -> list[str]:
+        """The path without an infinite weight. Finite paths all weigh nothing, so the search goes depth first, long
+        arcs first; a position belongs to one partial path only, so one that leads nowhere is never entered again."""
+        follows, may, size = self.follows, self._may_follow, len(text)
+        dead, out, open_ = bytearray(size + 1), [], []
+        at, last, ends = 0, None, self._ends(text, 0)
+        while at < size:
+            while ends:
+                end = ends.pop()
+                if dead[end]:
+                    continue
+                piece = text[at:end]
+                if last is not None:
+                    known = follows.get(last)
+                    fits = known.get(piece) if known is not None else None
+                    if not (may(last, piece) if fits is None else fits):
+                        continue
+                open_.append((at, last, ends))
+                out.append(piece)
+                at, last = end, piece
+                ends = self._ends(text, end)
+                break
+            else:
+                if not open_:
+                    return self._merged(text)
+                dead[at] = 1
+                out.pop()
+                at, last, ends = open_.pop()
+        return out
+
+    def _ends(self, text: str, start: int) -> list[int]:
+        """Where the arcs from a position end, in order: a walk down the tree of pieces."""
+        node, ends, size, at = self.tree, [], len(text), start
+        while at < size:
+            node = node.get(text[at])
+            if node is None:
+                break
+            at += 1
+            if "" in node:
+                ends.append(at)
+        if start < size and (not ends or ends[0] > start + 1):
+            ends.insert(0, start + 1)
+        return ends
+
     def _ids(self, text: str) -> bytes:
         """Ids of one piece-closed part of a text, as packed int32."""
         out: list[int] = []

@@ -85,7 +85,7 @@ def _fresh(df: DataFrame) -> DataFrame:
 def _guarded(meet):
     def run(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         if not len(one) or not len(two):
-            return pd.DataFrame({"a": [], "b": [], "cosine": []})
+            return pd.DataFrame({"a": pd.Series(dtype=object), "b": pd.Series(dtype=object), "cosine": pd.Series(dtype=float)})
         return meet(one, two)
 
     return run
@@ -142,7 +142,7 @@ def nearest_members(items: DataFrame, key: str, vector: str, sets: DataFrame, se
 
     def meet(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         if not len(one) or not len(two):
-            return pd.DataFrame({key: [], "_set": [], "distance": []})
+            return pd.DataFrame({key: pd.Series(dtype=object), "_set": pd.Series(dtype=object), "distance": pd.Series(dtype=float)})
         out = []
         x = np.stack(one[vector]).astype(float)
         xx = (x**2).sum(axis=1)[:, None]
@@ -151,8 +151,10 @@ def nearest_members(items: DataFrame, key: str, vector: str, sets: DataFrame, se
             for at in range(0, len(part), block):
                 y = np.stack(part[vector].iloc[at : at + block]).astype(float)
                 best = np.minimum(best, np.maximum(xx - 2 * x @ y.T + (y**2).sum(axis=1)[None, :], 0).min(axis=1))
-            out.append(pd.DataFrame({key: one[key].to_numpy(), "_set": name, "distance": np.sqrt(best)}))
-        return pd.concat(out)
+            out.append((name, np.sqrt(best)))
+        keys = one[key].tolist()
+        names = [n for n, d in out for _ in d]
+        return pd.DataFrame({key: pd.Series(keys * len(out), dtype=object), "_set": pd.Series(names, dtype=object), "distance": np.concatenate([d for _, d in out])})
 
     return left.cogroup(right).applyInPandas(meet, f"{key} {key_kind}, _set {set_kind}, distance double")
 

@@ -122,7 +122,7 @@ def components_within(spark, d):
     return sim.components_within(docs, "doc_id", edges.unionByName(outside))
 
 
-@query(f"WITH p AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS pos, length(text) AS size FROM ({COMPONENT}) JOIN documents USING (doc_id) WHERE doc_id < 400), r AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY n_chars DESC, doc_id) AS rn, min(pos) OVER (PARTITION BY component) AS place, count(*) OVER (PARTITION BY component) AS k FROM p) SELECT doc_id, component, place AS pos, k AS class_size FROM r WHERE rn = 1")
+@query(f"WITH p AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS pos, length(text) AS size FROM ({COMPONENT}) JOIN documents USING (doc_id) WHERE doc_id < 400), r AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY n_chars DESC, doc_id) AS rn, min(pos) OVER (PARTITION BY component) AS place, count(*) OVER (PARTITION BY component) AS k FROM p) SELECT doc_id, component, place::INT AS pos, k AS class_size FROM r WHERE rn = 1")
 def collapse_page(spark, d):
     page = _classes(spark, d).select("doc_id", "component").join(t(spark, d, "documents").where("doc_id < 400").select("doc_id", "n_chars"), "doc_id")
     page = page.withColumn("pos", F.row_number().over(W.orderBy("doc_id")))

@@ -75,6 +75,35 @@ QUERIES = {
 
 #: SQL for the operators that it can express; the tests hold the others against brute force.
 ORACLES: dict[str, str] = {
+    "op2_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM d, unnest(range(greatest(0, length(h) // 2 - 199))) AS u(i)),
+        r AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+        n AS (SELECT doc_id, i, coalesce(i > max(i + 200) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS new FROM r),
+        g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM n),
+        s AS (SELECT doc_id, g, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY 1, 2),
+        k AS (SELECT s.doc_id, s.g, b - a AS cut, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY s.doc_id ORDER BY s.g), 0) + 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY s.doc_id ORDER BY s.g), 0))) AS kept, b FROM s JOIN d USING (doc_id)),
+        t AS (SELECT doc_id, count(*) AS n_spans, sum(cut)::BIGINT AS n_removed, string_agg(kept, '' ORDER BY g) AS kept, max(b) AS b FROM k GROUP BY 1)
+        SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(b, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN t USING (doc_id)""",
+    "op8_warc": """
+        WITH p AS (SELECT page_id, lower(url) AS low, url, encode(coalesce(html, '')) AS data FROM pages),
+        h AS (SELECT *, sha1(data) AS hex, octet_length(data)::BIGINT AS payload_bytes FROM p),
+        b AS (SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1)), '') AS payload_digest, min(page_id) OVER (PARTITION BY data) AS first FROM h),
+        u AS (SELECT *, regexp_replace(regexp_replace(regexp_extract(low, '^[a-z]+://([^/?#]+)', 1), '^www\\.', ''), ':(80|443)$', '') AS host, regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS q FROM b)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to,
+               array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(q, '&')), '&') END AS url_key,
+               strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured_at FROM u""",
+    "op10_line_dedup": """
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS (SELECT doc_id, lines, i, length(lines[i + 1]) + 1 AS chars FROM d, unnest(range(len(lines))) AS u(i)),
+        s AS (SELECT *, sum(chars) OVER (PARTITION BY doc_id ORDER BY i) - chars AS start FROM l),
+        m AS (SELECT doc_id, lines, i, start, count(*) OVER w AS m, max(start + chars) OVER w AS stop FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+        r AS (SELECT doc_id, i, m, md5(array_to_string(lines[i + 1 : i + m], chr(10))) AS run FROM m WHERE stop - start >= 50),
+        f AS (SELECT doc_id, i, m, row_number() OVER (PARTITION BY run, m ORDER BY doc_id, i) AS n FROM r),
+        x AS (SELECT doc_id, list(DISTINCT k) AS gone FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM f WHERE n > 1) GROUP BY 1),
+        k AS (SELECT d.doc_id, len(lines)::INT AS n_lines, coalesce(len(gone), 0)::INT AS n_removed, array_to_string(list_transform(list_filter(range(len(lines)), lambda i: NOT list_contains(coalesce(gone, []), i)), lambda i: lines[i + 1]), chr(10)) AS text FROM d LEFT JOIN x USING (doc_id))
+        SELECT *, sha256(text) AS kept_sha256 FROM k""",
     "op5_topk": """
         WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings),
         s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, 65), lambda i: q.v[i] * c.v[i]))::BIGINT AS score

@@ -164,3 +164,12 @@ def test_publication_leaves_nothing_private(spark):
     out = publish.published({"t": t}, {"t": rule})["t"]
     assert [tuple(r) for r in out.orderBy("k").collect()] == [(1, "/one", '{"vocabulary":"v"}'), (2, None, "{}")]
     assert publish.any_row(publish.leaks(t, "t", ["ann"])) and not publish.any_row(publish.leaks(out, "t", ["ann"]))
+
+
+def test_join_refuses_unknown_keys_and_summaries_merge(spark):
+    a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "x")], "k int, v string")
+    with pytest.raises(ValueError, match="2"):
+        rel.complete_join(a, b, "k")
+    assert [tuple(r) for r in rel.complete_join(a.where("k = 1"), b, "k").collect()] == [(1, "x")]
+    parts = [spark.createDataFrame([(3, ["b", "a"])], "n int, bad array<string>"), spark.createDataFrame([(4, ["b"])], "n int, bad array<string>")]
+    assert [tuple(r) for r in rel.summed(parts, ["n"], ["bad"]).collect()] == [(7, ["a", "b"])]

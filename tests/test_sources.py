@@ -115,3 +115,40 @@ def test_sessions_repeats_and_latest(spark, tmp_path):
     assert got == {0: 39.0, 1: 37.0, 2: 38.0}
     live = stream.latest(stream.read_stream(spark, str(tmp_path / "in"), batch.schema), "user_id", ["ts", "event_id"], ["value"])
     assert {r.user_id: r.value for r in stream.drain(live, str(tmp_path / "o2"), str(tmp_path / "c2"), mode="complete").collect()} == got
+
+
+def test_wav_files(spark, tmp_path):
+    import wave
+
+    import numpy as np
+
+    from tonelake.sources import audio
+
+    def write(name, width, channels, whole):
+        with wave.open(str(tmp_path / name), "wb") as f:
+            f.setnchannels(channels)
+            f.setsampwidth(width)
+            f.setframerate(8000)
+            f.writeframes(whole.tobytes())
+
+    tone = (np.sin(np.arange(600) / 9) * 20000).astype("<i2")
+    write("a.wav", 2, 1, tone)
+    write("b.wav", 2, 2, tone)
+    write("c.wav", 1, 1, ((tone >> 8) + 128).astype(np.uint8))
+    write("d.wav", 4, 1, tone.astype("<i4") << 16)
+    write("e.wav", 2, 1, tone[:0])
+    (tmp_path / "f.wav").write_bytes(b"no sound")
+    found = files.discover(spark, str(tmp_path), ("wav",), content=True)
+    rows = {r.path[-5:]: r for r in audio.decode(found).collect()}
+    assert rows["a.wav"].frames == 600 and rows["b.wav"].frames == 300 and rows["c.wav"].depth == 8
+    assert rows["a.wav"].hash == rows["d.wav"].hash != rows["b.wav"].hash
+    assert rows["e.wav"].problem == "no frames" and rows["f.wav"].problem and rows["f.wav"].samples is None
+    assert np.allclose(rows["a.wav"].samples, tone / 32768)
+    counts = {r.path[-5:]: r.frames for r in audio.frame_counts(found).collect()}
+    assert counts == {"a.wav": 600, "b.wav": 300, "c.wav": 600, "d.wav": 600, "e.wav": 0, "f.wav": None}
+    good = audio.decode(found).where("problem is null and depth = 16")
+    again = good.select("path", audio.encode(F.col("samples"), F.col("depth"), F.col("channels")).alias("content"))
+    assert {r.path[-5:]: r.hash for r in audio.decode(again).collect()} == {k: rows[k].hash for k in ("a.wav", "b.wav", "d.wav")}
+    objects = good.select("hash", F.lit(b"x").alias("content"))
+    assert audio.store(objects, objects.limit(0)).count() == 2 and audio.store(objects, objects).count() == 0
+    assert audio.named(objects.dropDuplicates(["hash"]), objects.where(F.col("hash") == rows["b.wav"].hash)).count() == 1

@@ -294,3 +294,14 @@ def relation(gain: Column, confidence: Column, depth_changed: Column, least: flo
     """bit_depth_variant where only the depth changed, else amplification_variant; null under the least confidence."""
     kind = F.when(depth_changed & (F.abs(gain - 1) <= slack), "bit_depth_variant").otherwise("amplification_variant")
     return F.when(confidence >= least, kind)
+
+
+#: Extractors by name: from a waveform column to a vector column.
+EXTRACTORS: dict[str, Callable[[Column], Column]] = {
+    "shape": shape_print,
+    "rate": rate_print,
+    "thumbnail": thumbnail,
+    "descriptor": lambda wave: described(wave, 44100.0),
+    "grid": lambda wave: _mapped(lambda x: log_grid(x, 44100.0).ravel().tolist(), "array<double>", wave),
+    "envelopes": lambda wave: _mapped(lambda x: erb_envelopes(x, 44100.0).ravel().tolist(), "array<double>", wave),
+}

@@ -132,6 +132,20 @@ def missing_references(df: DataFrame, columns: list[str], parent: DataFrame, key
     return named.alias("c").join(parent.select(*keys).alias("p"), on, "left_anti")
 
 
+def complete_join(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """``df`` with the columns of ``other``; a key that ``other`` does not know refuses the join."""
+    unknown = df.join(other.select(key), key, "left_anti").select(key).distinct().limit(5).collect()
+    if unknown:
+        raise ValueError(f"no match for {key} in {[r[0] for r in unknown]}")
+    return df.join(other, key)
+
+
+def summed(parts: list[DataFrame], sums: list[str], sets: list[str]) -> DataFrame:
+    """One summary of the summaries of several shares: numbers summed, lists merged as sets."""
+    rows = reduce(lambda a, b: a.unionByName(b), parts)
+    return rows.agg(*[F.sum(c).alias(c) for c in sums], *[F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in sets])
+
+
 def changed(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
     """``(key, before, after)`` of the components whose digests differ, added and removed ones included."""
     b, a = before.select(key, F.col(value).alias("before")), after.select(key, F.col(value).alias("after"))

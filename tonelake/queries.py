@@ -664,3 +664,21 @@ def vector_distance(spark, d):
     one = e.where("vec_id = 3").select(F.col("embedding").alias("q")).limit(1)
     rows = e.crossJoin(F.broadcast(one))
     return rows.select("vec_id", F.round(vectors.euclidean(F.col("embedding"), F.col("q")), 6).alias("distance"), F.round(vectors.cosine(F.col("embedding"), F.col("q")), 6).alias("cosine"))
+
+
+KEYMAP = "SELECT l_linenumber AS module_id, l_suppkey % 7 AS instrument, l_quantity::INT AS note, min(l_quantity::INT) + 12 AS sounded_note, min(l_partkey % 9) AS sample FROM lineitem WHERE l_quantity < 40 GROUP BY 1, 2, 3"
+
+
+@query(
+    f"WITH e AS (SELECT event_id, event_id % 7 + 1 AS module_id, CASE WHEN event_id % 5 <> 0 THEN user_id % 7 END AS instrument, (event_id % 50 + 1)::INT AS note FROM events), k AS ({KEYMAP}), s AS (SELECT m AS module_id, i AS instrument, x AS sample, m * 100 + x AS slot FROM range(1, 8) a(m), range(7) b(i), range(6) c(x)) SELECT e.*, sounded_note, slot FROM e LEFT JOIN k ON e.module_id = k.module_id AND e.instrument = k.instrument AND e.note = k.note LEFT JOIN s ON s.module_id = e.module_id AND s.instrument = e.instrument AND s.sample = k.sample"
+)
+def note_resolution(spark, d):
+    from tonelake.operators import notes
+
+    e = t(spark, d, "events").select("event_id", (F.col("event_id") % 7 + 1).alias("module_id"), F.when(F.col("event_id") % 5 != 0, F.col("user_id") % 7).alias("instrument"), (F.col("event_id") % 50 + 1).cast("int").alias("note"))
+    note = F.col("l_quantity").cast("int")
+    lines = t(spark, d, "lineitem").where("l_quantity < 40").select(F.col("l_linenumber").cast("long").alias("module_id"), (F.col("l_suppkey") % 7).alias("instrument"), note.alias("note"), (F.col("l_partkey") % 9).alias("part"))
+    keymap = lines.groupBy("module_id", "instrument", "note").agg((F.min("note") + 12).alias("sounded_note"), F.min("part").alias("sample"))
+    grid = spark.range(1, 8).select(F.col("id").alias("module_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))).alias("instrument"))
+    slots = grid.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("sample")).withColumn("slot", F.col("module_id") * 100 + F.col("sample"))
+    return notes.resolve(e, keymap, slots)

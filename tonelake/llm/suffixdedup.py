@@ -34,8 +34,8 @@ from tonelake.sources.shared import materialize
 
 ANCHOR = 88
 #: A bucket with more different stretches than this is dealt out by whole suffixes.
-BUCKET_STRETCHES = 4000
-CHUNK_BYTES = 2 << 20
+BUCKET_STRETCHES = 2000
+CHUNK_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 2**64)
 
@@ -295,12 +295,11 @@ def repeated_spans(docs: DataFrame, length: int = 200, anchor: int = ANCHOR, buc
     # Crowded buckets: one row for every suffix, which meets its equals by its own hash.
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                data = np.frombuffer(row[5], np.uint8)
-                at = np.arange(len(data) - length + 1)
-                digests = [hashlib.blake2b(row[5][i : i + length], digest_size=16).digest() for i in at]
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array([row[1]] * n, arrow), pa.array([row[2]] * n, pa.int64()), pa.array((row[3] + at).astype(np.int32)), pa.array(digests, pa.binary())], names=["doc_id", "rid", "start", "w"])
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                out = [(d, r, f + i, hashlib.blake2b(text[i : i + length], digest_size=16).digest()) for _, d, r, f, _, text in zip(*[c.to_pylist() for c in part.columns]) for i in range(len(text) - length + 1)]
+                ids, rids, starts, digests = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, arrow), pa.array(rids, pa.int64()), pa.array(starts, pa.int32()), pa.array(digests, pa.binary())], names=["doc_id", "rid", "start", "w"])
 
     crowded = _contexts(docs, mixed.where(F.col("kinds") > bucket_stretches), length).mapInArrow(suffixes, f"doc_id {kind}, rid long, start int, w binary")
     twice = crowded.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.llm.common import keyed
+from tonelake.llm.common import keyed, same
+from tonelake.sources.shared import materialize
 
 WINDOW = 8
 SHORTEST = 5
@@ -31,7 +32,7 @@ def canonical(text: Column) -> Column:
     """The text with slots replaced by placeholders; white space, and so the tokens' places, stays as it is."""
     t = F.regexp_replace(text, rf"[^\p{{L}}\d\s.,:;/!?'’{NUMBER}{UNIT}{NAME}-]+", "")
     t = F.regexp_replace(t, r"\d+(?:[.,:/]\d+)*", NUMBER)
-    t = F.regexp_replace(t, rf"(?<={NUMBER})(\s?)(?i:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?!\p{{L}})", f"$1{UNIT}")
+    t = F.regexp_replace(t, rf"{NUMBER}(\s?)(?i:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?!\p{{L}})", f"{NUMBER}$1{UNIT}")
     t = F.regexp_replace(t, r"\p{Lu}(?<=[^.!?\s]\s{1,3}\p{Lu})[\p{L}'’-]*", NAME)
     return F.regexp_replace(F.lower(t), rf"[^\p{{L}}{NUMBER}{UNIT}{NAME}\s]+", "")
 
@@ -50,19 +51,29 @@ def _joined(hashes: Column, step: int) -> Column:
     return F.zip_with(hashes, F.slice(hashes, step + 1, F.greatest(F.size(hashes) - step, F.lit(0))), lambda a, b: F.xxhash64(a, b))
 
 
-def _windows(tokens: str, length: int) -> Column:
-    """Hashes of all windows of ``length`` tokens (4 to 8), in order."""
-    quads = _joined(_joined(F.transform(F.col(tokens), lambda x: F.xxhash64(x)), 1), 2)
-    return F.slice(_joined(quads, length - 4), 1, F.greatest(F.size(tokens) - (length - 1), F.lit(0)))
+def _with_quads(rows: DataFrame) -> DataFrame:
+    """``rows`` with the hashes of all runs of four of the tokens ``t`` as ``q``. Each doubling is a column of its own: it is used three times."""
+    rows = rows.withColumn("h", F.transform("t", lambda x: F.xxhash64(x)))
+    rows = rows.withColumn("h2", _joined(F.col("h"), 1))
+    return rows.withColumn("q", _joined(F.col("h2"), 2)).drop("h", "h2")
+
+
+def _windows(size: Column, length: int) -> Column:
+    """Hashes of all windows of ``length`` (4 to 8) of ``size`` tokens, in order, from ``q``."""
+    return F.slice(_joined(F.col("q"), length - 4), 1, _places(size, length))
+
+
+def _places(size: Column, length: int) -> Column:
+    return F.greatest(size - (length - 1), F.lit(0))
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """``(item_id, irid, length, n_windows, bpos, w, canon, slots)`` of every informative window of the items."""
     rows = keyed(items, id_col, text_col).distinct().withColumn("t", _tokens(F.col("text"))).withColumn("raw", _raw_tokens(F.col("text")))
-    rows = rows.where(F.size("t") >= SHORTEST).withColumn("length", F.least(F.size("t"), F.lit(WINDOW)))
+    rows = _with_quads(rows.where(F.size("t") >= SHORTEST).withColumn("length", F.least(F.size("t"), F.lit(WINDOW))))
     hashes = F.lit(None).cast("array<bigint>")
     for n in range(SHORTEST, WINDOW + 1):
-        hashes = F.when(F.col("length") == n, _windows("t", n)).otherwise(hashes)
+        hashes = F.when(F.col("length") == n, _windows(F.size("t"), n)).otherwise(hashes)
     at = rows.select("doc_id", "rid", "length", "t", "raw", F.posexplode(hashes).alias("bpos", "w"))
     at = at.select(
         F.col("doc_id").alias("item_id"), F.col("rid").alias("irid"), "length", "bpos", "w",
@@ -87,22 +98,30 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = 0.6, id_co
     Null texts count as empty, null ids are kept, repeated rows are found once, and documents without any item give no
     row. Other columns are not read.
     """
-    windows = item_windows(items)
-    lengths = [(r.length, r.n) for r in windows.groupBy("length").agg(F.count("*").alias("n")).orderBy("length").collect()]
-    rows = keyed(docs, id_col, text_col).withColumn("t", _tokens(F.col("text")))
-    hits = None
-    for length, n in lengths:
-        mine = windows.where(F.col("length") == length).drop("length")
-        if n <= BROADCAST_WINDOWS:
-            mine = F.broadcast(mine)
-        at = rows.select("doc_id", "rid", "text", F.posexplode(_windows("t", length)).alias("pos", "w")).join(mine, "w")
-        raw = F.slice(_raw_tokens(F.col("text")), F.col("pos") + 1, length)
-        pairs = F.zip_with(F.arrays_zip(F.col("canon"), F.col("bench")), raw, lambda b, d: F.when(b["canon"].rlike(f"[{NUMBER}{UNIT}{NAME}]"), F.struct(_plain(b["bench"]).alias("bench"), _plain(d).alias("doc"))))
-        at = at.select("doc_id", "rid", "item_id", "irid", "n_windows", "bpos", (F.col("pos") - F.col("bpos")).alias("shift"), F.filter(pairs, lambda p: p.isNotNull()).alias("pairs"))
-        hits = at if hits is None else hits.unionByName(at)
-    if hits is None:
+    windows = materialize(item_windows(items), "benchmark-windows")
+    lengths = {r.length: r.n for r in windows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # four at most
+    if not lengths:
         kind = docs.schema[id_col].dataType.simpleString()
         return docs.sparkSession.createDataFrame([], f"doc_id {kind}, rid long, item_id {items.schema['item_id'].dataType.simpleString()}, coverage double, n_slots int, n_changed int")
+    few = F.broadcast if sum(lengths.values()) <= BROADCAST_WINDOWS else lambda x: x
+    rows = keyed(docs, id_col, text_col)
+    # Only hashes and places are exploded; windows of all lengths stand one after the other.
+    hashed = _with_quads(rows.select("doc_id", "rid", _tokens(F.col("text")).alias("t"))).withColumn("size", F.size("t"))
+    at = hashed.select("doc_id", "rid", "size", F.posexplode(F.concat(*[_windows(F.col("size"), n) for n in sorted(lengths)])).alias("place", "w"))
+    at = at.join(few(windows.select("w", "length").distinct()), "w")
+    start, pos = F.lit(0), F.lit(None).cast("int")
+    for n in sorted(lengths):
+        end = start + _places(F.col("size"), n)
+        pos = F.when((F.col("length") == n) & (F.col("place") >= start) & (F.col("place") < end), F.col("place") - start).otherwise(pos)
+        start = end
+    at = at.select("doc_id", "rid", F.struct("w", "length", pos.alias("pos")).alias("hit")).where("hit.pos is not null")
+    at = at.groupBy("doc_id", "rid").agg(F.collect_set("hit").alias("hits"))
+    # The values in the slots come from the texts of the documents with hits, split once for each document.
+    both = rows.alias("a").join(at.alias("b"), same("doc_id", "rid")).select("a.doc_id", "a.rid", "b.hits", _raw_tokens(F.col("a.text")).alias("raw"))
+    values = F.transform("hits", lambda h: F.struct(h["w"].alias("w"), h["length"].alias("length"), h["pos"].alias("pos"), F.slice("raw", h["pos"] + 1, h["length"]).alias("raw")))
+    both = both.select("doc_id", "rid", F.explode(values).alias("hit")).select("doc_id", "rid", "hit.*").join(few(windows), ["w", "length"])
+    pairs = F.zip_with(F.arrays_zip(F.col("canon"), F.col("bench")), F.col("raw"), lambda b, d: F.when(b["canon"].rlike(f"[{NUMBER}{UNIT}{NAME}]"), F.struct(_plain(b["bench"]).alias("bench"), _plain(d).alias("doc"))))
+    hits = both.select("doc_id", "rid", "item_id", "irid", "n_windows", "bpos", (F.col("pos") - F.col("bpos")).alias("shift"), F.filter(pairs, lambda p: p.isNotNull()).alias("pairs"))
     who = ["doc_id", "rid", "item_id", "irid", "n_windows"]
     lines = hits.groupBy(*who, "shift").agg(F.collect_set("bpos").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     lines = lines.where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["bench"]))))

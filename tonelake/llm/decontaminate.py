@@ -69,18 +69,24 @@ def _places(size: Column, length: int) -> Column:
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """``(item_id, irid, length, n_windows, bpos, w, canon, slots)`` of every informative window of the items."""
-    rows = keyed(items, id_col, text_col).distinct().withColumn("t", _tokens(F.col("text"))).withColumn("raw", _raw_tokens(F.col("text")))
+    rows = keyed(items, id_col, text_col).distinct().withColumn("raw", _raw_tokens(F.col("text")))
+    alone = rows.withColumn("t", _tokens(F.col("text"))).withColumn("inside", F.lit(False))
+    # Inside a sentence of a document an item's first word, if it has a capital, reads as a name.
+    inside = rows.where(F.col("text").rlike(r"^\s*\p{Lu}")).withColumn("t", _tokens(F.concat(F.lit("a "), F.col("text")))).withColumn("t", F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))))
+    rows = alone.unionByName(inside.withColumn("inside", F.lit(True)))
     rows = _with_quads(rows.where(F.size("t") >= SHORTEST).withColumn("length", F.least(F.size("t"), F.lit(WINDOW))))
     hashes = F.lit(None).cast("array<bigint>")
     for n in range(SHORTEST, WINDOW + 1):
         hashes = F.when(F.col("length") == n, _windows(F.size("t"), n)).otherwise(hashes)
-    at = rows.select("doc_id", "rid", "length", "t", "raw", F.posexplode(hashes).alias("bpos", "w"))
+    at = rows.select("doc_id", "rid", "length", "t", "raw", "inside", F.posexplode(hashes).alias("bpos", "w")).where("bpos = 0 OR NOT inside")
     at = at.select(
         F.col("doc_id").alias("item_id"), F.col("rid").alias("irid"), "length", "bpos", "w",
-        F.slice("t", F.col("bpos") + 1, F.col("length")).alias("canon"), F.slice("raw", F.col("bpos") + 1, F.col("length")).alias("bench"),
+        F.slice("t", F.col("bpos") + 1, F.col("length")).alias("canon"), F.slice("raw", F.col("bpos") + 1, F.col("length")).alias("bench"), "inside",
     )
+    # That word is no slot: it is hashed as a name, but has no value to follow.
+    at = at.withColumn("canon", F.when(F.col("inside"), F.concat(F.array(F.lit("")), F.slice("canon", 2, WINDOW))).otherwise(F.col("canon"))).drop("inside")
     at = at.where(F.size(F.filter("canon", lambda x: ~x.rlike(f"[{NUMBER}{UNIT}{NAME}]"))) >= F.least(F.lit(LITERALS), F.col("length") - 1))
-    counts = at.groupBy("item_id", "irid").agg(F.count("*").alias("n_windows"))
+    counts = at.groupBy("item_id", "irid").agg(F.countDistinct("bpos").alias("n_windows"))
     return at.alias("a").join(counts.alias("b"), F.col("a.item_id").eqNullSafe(F.col("b.item_id")) & (F.col("a.irid") == F.col("b.irid"))).select("a.*", "n_windows")
 
 

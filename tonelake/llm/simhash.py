@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.llm.common import keyed, same
+from tonelake.llm.common import keyed
 from tonelake.plans.graph import connected_components
 from tonelake.plans.joins import join_back
 from tonelake.sources.shared import materialize
@@ -31,18 +31,24 @@ SEGMENT_BITS = 4
 CELL_ROWS = 512
 
 
-def fingerprint(text: bytes, shingle: int, seed: int) -> int:
-    """SimHash of the ``shingle``-word shingles of UTF-8 bytes, as an unsigned number; no words: 0."""
+def shingle_hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
+    """Hashes of the ``shingle``-word shingles of UTF-8 bytes, in their order; fewer words are one shingle, no words none."""
     words = text.lower().split()  # for bytes: A-Z only, and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     n = max(1, len(words) - shingle + 1)
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     stops = ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops)], np.uint64)
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops)], np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int, seed: int) -> int:
+    """SimHash of the ``shingle``-word shingles of UTF-8 bytes, as an unsigned number; no words: 0."""
+    hashes = shingle_hashes(text, shingle, seed)
+    n = len(hashes)
     votes = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)[0])
 
@@ -134,11 +140,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = rooted.groupBy("root").agg(F.min("least").alias("first"))
     classes = rooted.join(names, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.rid").alias("kept"))
     return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "kept")
-
-
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that come first in their component of :func:`near_duplicates`, whole and each once."""
-    first = near_duplicates(docs, **options).select(F.col("component_id").alias("doc_id"), F.col("kept").alias("rid")).distinct()
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    rows = keyed(docs, id_col, text_col, carry=True).drop("text").alias("a").join(first.alias("b"), same("doc_id", "rid"), "left_semi")
-    return rows.groupBy("doc_id", "rid").agg(F.first("row").alias("row")).select("row.*")

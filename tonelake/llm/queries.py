@@ -97,9 +97,10 @@ ORACLES: dict[str, str] = {
     "op10_line_dedup": """
         WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         l AS (SELECT doc_id, lines, i, length(lines[i + 1]) + 1 AS chars FROM d, unnest(range(len(lines))) AS u(i)),
-        s AS (SELECT *, sum(chars) OVER (PARTITION BY doc_id ORDER BY i) - chars AS start FROM l),
-        m AS (SELECT doc_id, lines, i, start, count(*) OVER w AS m, max(start + chars) OVER w AS stop FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
-        r AS (SELECT doc_id, i, m, md5(array_to_string(lines[i + 1 : i + m], chr(10))) AS run FROM m WHERE stop - start >= 50),
+        c AS (SELECT *, sum(chars) OVER (PARTITION BY doc_id ORDER BY i) - chars AS start FROM l),
+        m AS (SELECT a.doc_id, a.lines, a.i, b.i - a.i + 1 AS m FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 50
+              WHERE b.start + b.chars - a.start >= 50 AND (b.start + b.chars - a.start - a.chars < 50 OR b.start - a.start < 50)),
+        r AS (SELECT doc_id, i, m, md5(array_to_string(lines[i + 1 : i + m], chr(10))) AS run FROM m),
         f AS (SELECT doc_id, i, m, row_number() OVER (PARTITION BY run, m ORDER BY doc_id, i) AS n FROM r),
         x AS (SELECT doc_id, list(DISTINCT k) AS gone FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM f WHERE n > 1) GROUP BY 1),
         k AS (SELECT d.doc_id, len(lines)::INT AS n_lines, coalesce(len(gone), 0)::INT AS n_removed, array_to_string(list_transform(list_filter(range(len(lines)), lambda i: NOT list_contains(coalesce(gone, []), i)), lambda i: lines[i + 1]), chr(10)) AS text FROM d LEFT JOIN x USING (doc_id))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_linededup import brute as brute_lines
-from tests.llm.test_simhash import brute as brute_classes
+from tests.llm.test_shingles import brute as brute_groups
 from tests.oracle import check, connection
 from tonelake.llm import queries, toxicity
 from tonelake.llm.common import keyed
@@ -48,8 +48,8 @@ def test_line_copies_go(stages):
 
 
 def test_one_of_each_group_stays(stages):
-    classes = brute_classes([(r.doc_id, r.text) for r in stages[2].collect()], n=5)
-    assert sorted(r.doc_id for r in stages[3].collect()) == sorted({c for _, _, c in classes})
+    want, _ = brute_groups([(r.doc_id, r.text) for r in stages[2].collect()])
+    assert sorted(r.doc_id for r in stages[3].collect()) == want
 
 
 def test_benchmark_passages_go(spark, sf_dir, stages):

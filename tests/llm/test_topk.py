@@ -7,13 +7,13 @@ from tonelake.llm import topk
 
 
 def brute(rows, is_query, k=5, scale=256):
-    fine = [(i, [math.floor(scale * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    fine = [(i, [math.floor(scale * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out, asked = [], {}
     for i, v in fine:
         if is_query(i):
             asked[i] = min(asked.get(i, v), v)
     for q, v in asked.items():
-        scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in fine if i != q)[:k]
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in fine if i != q and len(v) == len(w))[:k]
         out += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
     return sorted(out)
 
@@ -30,6 +30,10 @@ def test_edge_rows(spark):
     want = brute(rows, lambda i: i % 50 == 0)
     assert got(df, F.col("vec_id") % 50 == 0) == want and want
     assert got(df.limit(0), F.col("vec_id") % 50 == 0) == []
+    odd = [(0, []), (1, [0.5, 0.5]), (2, [0.1]), (3, [0.2, 0.1]), (50, [0.7, 0.1]), (51, [0.1, 0.2, 0.3]), (100, [0.4]), (150, [0.1, 0.2, 0.4])]
+    assert got(spark.createDataFrame(odd, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0) == brute(odd, lambda i: i % 50 == 0)
+    large = [(i * 2**56, [1e6 + i / 8, -1e6 + i, 3.5e6]) for i in range(-3, 4)] + [(5, [1e12, 1e12, 1e12])]
+    assert got(spark.createDataFrame(large, "vec_id long, embedding array<double>"), F.col("vec_id") % 2 == 0) == [(q, r, i, max(-(2**63), min(2**63 - 1, s))) for q, r, i, s in brute(large, lambda i: i % 2 == 0)]
     few = [(0, [0.5]), (1, [0.1])]
     assert got(spark.createDataFrame(few, "vec_id long, embedding array<float>"), F.col("vec_id") == 0) == [(0, 1, 1, 128 * 25)]
 

@@ -6,8 +6,11 @@ most the sum over terms of the larger of query value times maximum and query val
 are visited in the order of these bounds, and scoring stops when the next bound falls below the k-th score so far.
 
 Work is dealt by pairs of a chunk of queries and a group of blocks, so no task holds more than a chunk and a group,
-whatever the table's size; each pair returns k rows per query and a last window merges them. Pruning works inside each
-pair; no query list, index or score passes through the driver.
+whatever the table's size and however its ids are spread; each pair returns k rows per query and a last window merges
+them. Pruning works inside each pair; no query list, index or score passes through the driver.
+
+Scores are exact integers: where sums of products may pass 2**53, numbers of any size are multiplied instead of
+doubles, and nothing is pruned.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from tonelake.sources.shared import materialize
 BLOCK = 256
 GROUP_BLOCKS = 32
 CHUNK = 1024
-CHUNK_IDS = 51_200
+_LONG = np.iinfo(np.int64)
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -83,77 +86,87 @@ def search_group(queries: np.ndarray, own: np.ndarray, blocks: list[tuple[np.nda
     return best, names, visits
 
 
-def _matrix(column: pd.Series, dim: int) -> np.ndarray:
-    """Exact in double precision: sums of products stay far below 2**53."""
-    return np.concatenate([np.frombuffer(b, np.int64) for b in column]).reshape(-1, dim).astype(float)
+def _exact(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int) -> pd.DataFrame:
+    """search_group() for integers of any size, as rows; a score beyond the range of a long becomes its nearest end."""
+    out, large = [], matrix.astype(object)
+    for q, me in zip(queries, own):
+        scores = large @ q.astype(object)
+        best = sorted((-s, i) for s, i in zip(scores, ids.tolist()) if i != me)[:k]
+        out += [(int(me), i, max(_LONG.min, min(_LONG.max, -s))) for s, i in best]
+    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
+
+
+def _matrix(data: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(data, np.int64).reshape(-1, dim)
+
 
+def _largest(matrix: np.ndarray) -> int:
+    return max(abs(int(matrix.max())), abs(int(matrix.min())))
+
+
+def _packed(rows: DataFrame, key: list[str], name: str) -> DataFrame:
+    """A row for each ``key``: ids and vectors of its members in the order of the ids, as bytes of longs."""
+    held = rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("rows"))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ids = [np.array([m["vec_id"] for m in r], np.int64).tobytes() for r in pdf["rows"]]
+            data = [np.array([m["v"] for m in r], np.int64).tobytes() for r in pdf["rows"]]
+            yield pdf[key].assign(ids=ids, data=data)
 
-def _packed(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    return rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(order, "v"))).alias("rows"))
+    kinds = ", ".join(f"{c} {t}" for c, t in held.select(*key).dtypes)
+    return materialize(held.mapInPandas(pack, f"{kinds}, ids binary, data binary"), name)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each vector with ``is_query`` its k best others by integer inner product.
 
     ``is_query`` is a condition on ``vec_id``. Ties go to the smaller vec_id; fewer than k others give fewer rows.
-    Vectors that are null or hold null or non-finite components take no part, and neither do null ids or vectors of
-    another length than the first by id. Rows that repeat an id are other vectors to each other's queries but never
-    to a query of their own id, and a repeated query is searched once, with its smallest vector. An empty table gives
-    no rows; other columns are not read.
+    Vectors that are null, empty or hold null or non-finite components take no part, and neither do null ids. Vectors
+    of different lengths have no inner product: each is held against those of its own length. Rows that repeat an id
+    are other vectors to each other's queries but never to a query of their own id, and a repeated query is searched
+    once, with its smallest vector (of each length). Ids may be any longs. An empty table gives no rows; other columns
+    are not read.
     """
-    rows = quantised(vectors, id_col, vector_col, scale)
-    first = rows.select("vec_id", F.size("v").alias("n")).agg(F.min(F.struct("vec_id", "n"))).first()[0]
-    dim = first["n"] if first else 0
-    spark = vectors.sparkSession
-    if not dim:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    rows = rows.where(F.size("v") == dim)
+    rows = quantised(vectors, id_col, vector_col, scale).withColumn("dim", F.size("v")).where("dim > 0")
     # Of rows equal in id and vector no more than k can be among the best.
-    copies = rows.groupBy("vec_id", "v").agg(F.count("*").alias("n"))
-    rows = copies.select("vec_id", "v", F.explode(F.array_repeat(F.lit(0), F.least(F.col("n"), F.lit(k)).cast("int")))).drop("col")
+    copies = rows.groupBy("vec_id", "dim", "v").agg(F.count("*").alias("n"))
+    rows = copies.select("vec_id", "dim", "v", F.explode(F.array_repeat(F.lit(0), F.least(F.col("n"), F.lit(k)).cast("int")))).drop("col")
+    least, most, n, asked_n = rows.agg(F.min("vec_id"), F.max("vec_id"), F.count("*"), F.count_if(is_query)).first()
+    n_blocks = max(1, -(-n // BLOCK))
     # Blocks are ranges of ids; a range that many vectors share is cut by a hash, so that no block grows with them.
-    rows = rows.withColumn("block", F.floor(F.col("vec_id") / BLOCK))
-    crowd = rows.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > 2 * BLOCK)
+    width = ((most or 0) - (least or 0) + 1) / n_blocks
+    rows = rows.withColumn("block", F.floor((F.col("vec_id").cast("double") - float(least or 0)) / width))
+    crowd = rows.groupBy("dim", "block").agg(F.count("*").alias("n")).where(F.col("n") > 2 * BLOCK)
     salt = F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("vec_id", "v"), F.ceil(F.col("n") / BLOCK)))
-    blocks = _packed(rows.join(crowd, "block", "left").withColumn("salt", salt), ["block", "salt"], "vec_id")
-
-    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for block, members in zip(pdf["block"], pdf["rows"]):
-                ids = np.array([m["vec_id"] for m in members], np.int64)
-                out.append((block // GROUP_BLOCKS, ids.tobytes(), np.array([m["v"] for m in members], np.int64).tobytes()))
-            yield pd.DataFrame(out, columns=["grp", "ids", "data"])
-
-    index = materialize(blocks.mapInPandas(store, "grp long, ids binary, data binary"), "blocks")
-    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = _packed(asked.withColumn("chunk", F.floor(F.col("vec_id") / CHUNK_IDS)), ["chunk"], "vec_id")
-
-    def store_queries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"chunk": pdf["chunk"], "ids": [np.array([m["vec_id"] for m in r], np.int64).tobytes() for r in pdf["rows"]], "data": [np.array([m["v"] for m in r], np.int64).tobytes() for r in pdf["rows"]]})
-
-    questions = materialize(asked.mapInPandas(store_queries, "chunk long, ids binary, data binary"), "questions")
-    groups = index.select("grp").distinct()
-
-    def search(pdf: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        out = []
+    grp = F.pmod(F.xxhash64("block", "salt"), F.lit(-(-n_blocks // GROUP_BLOCKS)))
+    index = _packed(rows.join(crowd, ["dim", "block"], "left").withColumn("salt", salt).withColumn("grp", grp), ["dim", "grp", "block", "salt"], "blocks")
+    asked = rows.where(is_query).groupBy("vec_id", "dim").agg(F.min("v").alias("v"))
+    questions = _packed(asked.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-asked_n // CHUNK))))), ["dim", "chunk"], "questions")
+    groups = index.select("dim", "grp").distinct()
+
+    def search(key: tuple, pdf: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        out, dim = [], int(key[0])
         if len(pdf) and len(others):
-            blocks_ = [(np.frombuffer(i, np.int64), _matrix([d], dim)) for i, d in zip(others["ids"], others["data"])]
+            blocks = [(np.frombuffer(i, np.int64), _matrix(d, dim)) for i, d in zip(others["ids"], others["data"])]
+            largest, fast = max(_largest(m) for _, m in blocks), [(i, m.astype(float)) for i, m in blocks]
             for ids, data in zip(pdf["ids"], pdf["data"]):
-                own, q = np.frombuffer(ids, np.int64), _matrix([data], dim)
+                own, q = np.frombuffer(ids, np.int64), _matrix(data, dim)
+                if _largest(q) * largest * dim >= 2**53:
+                    out.append(_exact(q, own, np.concatenate([i for i, _ in blocks]), np.concatenate([m for _, m in blocks]), k))
+                    continue
                 for a in range(0, len(own), CHUNK):
                     mine = slice(a, a + CHUNK)
-                    best, names, _ = search_group(q[mine], own[mine], blocks_, k)
+                    best, names, _ = search_group(q[mine].astype(float), own[mine], fast, k)
                     r, c = np.nonzero(best > -np.inf)
                     out.append(pd.DataFrame({"query_id": own[mine][r], "vec_id": names[r, c], "score": best[r, c].astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
+        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "score")})
 
-    chunks = questions.select("chunk").distinct()
-    pairs = chunks.join(groups)
-    left = questions.join(pairs, "chunk").groupBy("chunk", "grp")
-    right = index.join(pairs, "grp")  # the stated queries against all rows, in blocks
-    right = right.select(*[F.col(c).alias(c) for c in right.columns]).groupBy("chunk", "grp")  # new names for cogroup
+    chunks = questions.select("dim", "chunk").distinct()
+    pairs = chunks.join(groups, "dim")
+    left = questions.join(pairs, ["dim", "chunk"]).groupBy("dim", "chunk", "grp")
+    right = index.join(pairs, ["dim", "grp"])  # the stated queries against all rows, in blocks
+    right = right.select(*[F.col(c).alias(c) for c in right.columns]).groupBy("dim", "chunk", "grp")  # new names for cogroup
     found = left.cogroup(right).applyInPandas(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -12,9 +12,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +25,12 @@ from tonelake.sources.shared import materialize, new_path
 
 RECORD_END = "\r\n\r\n"
 FILE_RECORDS = 4000
+#: Inflated bytes that the reader takes in at once, and index entries that a range merges.
+PIECE_BYTES = 1 << 22
+RANGE_ENTRIES = 250_000
 EPOCH = 1704067200  # 2024-01-01: pages carry no capture time, so page n counts as captured n seconds later
+#: Ids are taken modulo this many seconds, so that the year keeps four digits.
+LATEST = 10**11
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAME = "tag:tonelake,2024:page/"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -68,36 +73,72 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
 
     Of the rows with equal payloads of at least ``min_bytes`` bytes the one with the smallest page_id is a response and
     the others revisit it. Null html is an empty payload, a null url an empty one; null page ids come after all others
-    and repeated rows of the smallest page_id are all responses.
+    and repeated rows of the smallest page_id are all responses. Page ids may be any longs; their capture times repeat
+    after LATEST seconds. A very long payload is one record. An empty table writes no records.
     """
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), (F.coalesce(F.col("page_id"), F.lit(0)) + EPOCH).cast("long").alias("captured"))
+    rows = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), (F.pmod(F.coalesce(F.col("page_id").cast("long"), F.lit(0)), F.lit(LATEST)) + EPOCH).alias("captured"))
     rows = rows.withColumn("digest", base32_sha1(F.col("html").cast("binary")))
     first = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    rows = join_back(rows, first, ["digest"], "left")
+    # Of the payloads only digests are shuffled, as long as Spark broadcasts the table of those that repeat.
+    rows = join_back(rows, materialize(first, "digests"), ["digest"], "left")
     rows = rows.withColumn("refers_to", F.when((F.col("payload_bytes") >= min_bytes) & F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")))
     rows.select(_record(min_bytes).alias("value")).write.option("lineSep", RECORD_END).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
+_URL = re.compile(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:]*)(?::([^/?#]*))?)?([^?#]*)(?:\?([^#]*))?", re.DOTALL)
+
+
 def url_key(url: str) -> str:
-    """Sort-friendly form of a URL: reversed host, path, sorted query; scheme, www., usual ports and fragment go."""
-    parts = urlsplit(url.strip())
-    host, _, port = parts.netloc.lower().rpartition("@")[2].partition(":")
-    host = host.removeprefix("www.")
-    port = "" if port in ("", "80", "443") else ":" + port
-    query = "&".join(sorted(parts.query.split("&"))) if parts.query else ""
-    return ",".join(reversed(host.split("."))) + port + ")" + (parts.path or "/") + ("?" + query if query else "")
-
-
-def records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Offset, header fields and block of each record of an archive."""
-    at = 0
-    while at < len(data):
-        head = data.index(b"\r\n\r\n", at)
-        fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in data[at:head].decode().split("\r\n")[1:])
+    """Sort-friendly form of a URL: reversed host, path, sorted query; scheme, user, www., usual ports and fragment go.
+
+    Any text has a key: what does not read as a URL is a path.
+    """
+    host, port, path, query = (part or "" for part in _URL.match(url.strip()).groups())
+    host = host.lower().removeprefix("www.")
+    port = "" if port in ("", "80", "443") else ":" + port.lower()
+    query = "&".join(sorted(query.split("&"))) if query else ""
+    return (host if host.startswith("[") else ",".join(reversed(host.split(".")))) + port + ")" + (path or "/") + ("?" + query if query else "")
+
+
+def records(pieces: Iterator[bytes]) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """Offset, header fields and block of each record of an archive that arrives in pieces; one record is held at a time."""
+    at, held = 0, bytearray()
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while held or more():
+        seen = 0
+        while (head := held.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(held) - 3)
+            if not more():
+                raise ValueError(f"the archive ends inside a header at {at}")
+        fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in held[:head].decode().split("\r\n")[1:])
         end = head + 4 + int(fields["Content-Length"])
-        yield at, fields, data[head + 4 : end]
-        at = end + 4
+        while len(held) < end + 4:
+            if not more():
+                raise ValueError(f"the archive ends inside the record at {at}")
+        yield at, fields, bytes(held[head + 4 : end])
+        del held[: end + 4]
+        at += end + 4
+
+
+def inflated(data: bytes) -> Iterator[bytes]:
+    """The content of a gzip file, member by member, PIECE_BYTES at most at a time."""
+    while data:
+        stream = zlib.decompressobj(31)
+        while not stream.eof and data:
+            piece = stream.decompress(data, PIECE_BYTES)
+            data = stream.unconsumed_tail
+            if piece:
+                yield piece
+        rest = stream.flush()
+        if rest:
+            yield rest
+        data = stream.unused_data
 
 
 class LoserTree:
@@ -150,9 +191,8 @@ def runs(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = zlib.decompressobj(31).decompress(content.as_py())
                 entries = []
-                for offset, f, block in records(data):
+                for offset, f, block in records(inflated(content.as_py())):
                     head = block.index(b"\r\n\r\n")
                     payload, kind = block[head + 4 :], f["WARC-Type"]
                     size = int(block[:head].rpartition(b"Content-Length: ")[2])
@@ -176,7 +216,12 @@ def _order(entry: tuple) -> tuple:
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
-    """The merged index of the archives at ``path``, ordered by URL key, timestamp and page over all partitions."""
+    """The merged index of the archives at ``path``, ordered by URL key, timestamp and page over all partitions.
+
+    Null page ids come last, then files and offsets decide; so captures that repeat keep their order. A range holds about
+    RANGE_ENTRIES entries, however often a URL was captured. ``offset`` is the place in the inflated file. No archives
+    give no entries.
+    """
     stored = materialize(runs(spark, path), "runs")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,12 +244,14 @@ def index(spark: SparkSession, path: str) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], names=_FIELDS)
 
-    ranges = stored.repartitionByRange("url_key", "captured_at", "page_id", "file", "offset")
+    n_ranges = max(1, -(-stored.count() // RANGE_ENTRIES))
+    ranges = stored.repartitionByRange(n_ranges, "url_key", "captured_at", "page_id", "file", "offset")
     return ranges.mapInArrow(merge, INDEX)
 
 
 def archive(pages: DataFrame, min_bytes: int = 0, path: str | None = None) -> DataFrame:
-    """Write ``pages`` as WARC files, read them back and return their merged index, one entry per page."""
+    """Write ``pages`` as WARC files, read them back and return their merged index (see write() and index()), one entry
+    per row of ``pages``. Other columns are not read."""
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     write(pages.select("page_id", "url", "html"), path, min_bytes)

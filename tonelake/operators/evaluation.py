@@ -27,6 +27,12 @@ def ranked_others(items: DataFrame, key: str, vector: str, group: str | None = N
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), "item")))
 
 
+def against(queries: DataFrame, items: DataFrame, parts: int = 16) -> DataFrame:
+    """A stated query set with every item, dealt by parts of the items."""
+    q = queries.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return items.withColumn("_part", F.pmod(F.xxhash64(*items.columns), F.lit(parts)).cast("int")).join(q, "_part").drop("_part")
+
+
 def ndcg(ranked: DataFrame, gain: Column, k: int = 10) -> DataFrame:
     """``(query, ndcg)`` at k from ranked rows; null where no item has any gain."""
     rows = ranked.withColumn("_g", gain.cast("double"))
@@ -86,9 +92,9 @@ def group_folds(df: DataFrame, group: str, seed: str, folds: int) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.conv(F.substring(F.md5(F.concat(F.col(group).cast("string"), F.lit(seed))), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int"))
 
 
-def knn_regression(items: DataFrame, key: str, vector: str, target: str, k: int) -> DataFrame:
+def knn_regression(items: DataFrame, key: str, vector: str, target: str, k: int, queries: Column | None = None) -> DataFrame:
     """``(key, target, predicted)``: mean target of the k nearest items of other folds (column ``fold``)."""
-    ranked = ranked_others(items, key, vector, group="fold", carry=[target])
+    ranked = ranked_others(items, key, vector, group="fold", queries=queries, carry=[target])
     best = ranked.where(F.col("rank") <= k)
     return best.groupBy(F.col("query").alias(key), F.col(f"q_{target}").alias(target)).agg(F.avg(f"i_{target}").alias("predicted"))
 
@@ -100,12 +106,15 @@ def rank_one(similarities: DataFrame, query: str, item: str, score: str) -> Data
 
 
 def trustworthiness(pairs: DataFrame, query: str, item: str, original: str, placed: str, k: int) -> DataFrame:
-    """How few of the k neighbours in a layout are far in the original space: 1 at best. ``pairs`` has both distances."""
+    """How few of the k neighbours in a layout are far in the original space: 1 at best.
+
+    ``pairs`` has both distances from each query to every other item; the queries may be some of the items.
+    """
     w = W.partitionBy(query)
     ranked = pairs.withColumn("_o", F.row_number().over(w.orderBy(original, item))).withColumn("_p", F.row_number().over(w.orderBy(placed, item)))
-    n = pairs.agg((F.countDistinct(query)).alias("_n"))
+    n = pairs.agg(F.countDistinct(query).alias("_m"), (F.countDistinct(item) + F.when(F.countDistinct(query) == 1, 1).otherwise(0)).alias("_n"))
     sums = ranked.agg(F.sum(F.when((F.col("_p") <= k) & (F.col("_o") > k), F.col("_o") - k).otherwise(0)).alias("_s"))
-    return sums.crossJoin(n).select((1 - F.col("_s") * 2 / (F.col("_n") * k * (2 * F.col("_n") - 3 * k - 1))).alias("trustworthiness"))
+    return sums.crossJoin(n).select((1 - F.col("_s") * 2 / (F.col("_m") * k * (2 * F.col("_n") - 3 * k - 1))).alias("trustworthiness"))
 
 
 def bootstrap(values: DataFrame, key: str, value: str, draws: int = 1000, low: float = 0.05, high: float = 0.95, seed: str = "0") -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tonelake.functions import labels
+
 
 def page(df: DataFrame, order: list[Column], limit: int = 50, offset: int = 0) -> DataFrame:
     """One page of a total order; end ``order`` with a unique key so that pages are disjoint."""
@@ -162,3 +164,16 @@ def same_set(a: DataFrame, b: DataFrame) -> DataFrame:
 def privileges(roles: DataFrame, kinds: list[str], allowed: Column) -> DataFrame:
     """Every role with every kind (a cross join with a short list), kept where ``allowed`` holds."""
     return roles.select("*", F.explode(F.array(*map(F.lit, kinds))).alias("kind")).where(allowed)
+
+
+def label_agreements(queries: DataFrame, items: DataFrame, key: str, paths: str) -> DataFrame:
+    """``(a, b, agreement)``: Jaccard similarity of the closures of two items' paths, where they share any.
+
+    Items meet over the paths that they share, so pairs without one are never made. ``queries`` states the query set.
+    """
+    closed = lambda df: df.select(key, F.explode(F.transform(labels.closure(F.col(paths)), labels.format_path)).alias("_path"))
+    sizes = closed(items).groupBy(key).agg(F.count("*").alias("_n"))
+    x, y = closed(queries).withColumnRenamed(key, "a"), closed(items).withColumnRenamed(key, "b")
+    shared = x.join(y, "_path").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("_s"))
+    shared = shared.join(sizes.select(F.col(key).alias("a"), F.col("_n").alias("_na")), "a").join(sizes.select(F.col(key).alias("b"), F.col("_n").alias("_nb")), "b")
+    return shared.select("a", "b", (F.col("_s") / (F.col("_na") + F.col("_nb") - F.col("_s"))).alias("agreement"))

@@ -113,9 +113,12 @@ def subtype_union(spark, d):
     return rel.subtype_union(base, "p_type", kinds)
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = c_custkey)")
+DEAR = "o_totalprice > 400000"
+
+
+@query(f"SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND {DEAR}) AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = c_custkey)")
 def orphans_anti(spark, d):
-    return rel.orphans(t(spark, d, "customer").select("c_custkey"), "c_custkey", (t(spark, d, "orders"), "o_custkey"), (t(spark, d, "supplier"), "s_suppkey"))
+    return rel.orphans(t(spark, d, "customer").select("c_custkey"), "c_custkey", (t(spark, d, "orders").where(DEAR), "o_custkey"), (t(spark, d, "supplier"), "s_suppkey"))
 
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) OR EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = c_custkey)")
@@ -339,13 +342,12 @@ def top_level_rollup(spark, d):
 
 
 @query(
-    f"WITH k AS ({CLOSED}), a AS (SELECT * FROM k WHERE p_partkey <= 40), s AS (SELECT x.p_partkey AS a, y.p_partkey AS b, count(*) AS shared FROM a x JOIN a y ON x.path = y.path AND x.p_partkey < y.p_partkey GROUP BY 1, 2), n AS (SELECT p_partkey, count(*) AS n FROM a GROUP BY 1) SELECT s.a, s.b, round(shared / (na.n + nb.n - shared), 9) AS agreement FROM s JOIN n na ON na.p_partkey = s.a JOIN n nb ON nb.p_partkey = s.b"
+    f"WITH k AS ({CLOSED}), s AS (SELECT x.p_partkey AS a, y.p_partkey AS b, count(*) AS shared FROM k x JOIN k y ON x.path = y.path AND x.p_partkey <> y.p_partkey WHERE x.p_partkey % 20 = 0 GROUP BY 1, 2), n AS (SELECT p_partkey, count(*) AS n FROM k GROUP BY 1) SELECT s.a, s.b, round(shared / (na.n + nb.n - shared), 9) AS agreement FROM s JOIN n na ON na.p_partkey = s.a JOIN n nb ON nb.p_partkey = s.b"
 )
 def label_jaccard(spark, d):
-    rows = _labelled(spark, d).where("p_partkey <= 40").select("p_partkey", labels.written_paths(F.col("label")).alias("paths"))
-    x, y = rows.select(F.col("p_partkey").alias("a"), F.col("paths").alias("pa")), rows.select(F.col("p_partkey").alias("b"), F.col("paths").alias("pb"))
-    both = x.join(y, F.col("a") < F.col("b")).withColumn("agreement", F.round(labels.agreement(F.col("pa"), F.col("pb")), 9))
-    return both.where("agreement > 0").select("a", "b", "agreement")
+    """Every twentieth item as a query against all items."""
+    rows = _labelled(spark, d).select("p_partkey", labels.written_paths(F.col("label")).alias("paths"))
+    return rel.label_agreements(rows.where("p_partkey % 20 = 0"), rows, "p_partkey", "paths").withColumn("agreement", F.round("agreement", 9))
 
 
 @query(f"SELECT path, row_number() OVER (ORDER BY min(p_partkey), path)::INT AS rank FROM ({CLOSED}) GROUP BY path")
@@ -385,9 +387,9 @@ def page_urls(spark, d):
     return t(spark, d, "pages").agg(F.count("*").alias("n"), F.sum(ok.cast("long")).alias("valid"), F.sum(hit.cast("long")).alias("matching"))
 
 
-@query(f"SELECT p_partkey, CASE WHEN c LIKE '%A' THEN c WHEN e LIKE '%1' THEN e END AS slot FROM ({PATHS}) WHERE p_partkey <= 500")
+@query(f"SELECT p_partkey, CASE WHEN c LIKE '%A' THEN c WHEN e LIKE '%1' THEN e END AS slot FROM ({PATHS})")
 def first_chosen_tag(spark, d):
-    rows = _labelled(spark, d).where("p_partkey <= 500").select("p_partkey", F.transform(labels.written_paths(F.col("label")), labels.format_path).alias("tags"))
+    rows = _labelled(spark, d).select("p_partkey", F.transform(labels.written_paths(F.col("label")), labels.format_path).alias("tags"))
     chosen = F.filter("tags", lambda x: x.endswith("A") & x.contains(":") | x.endswith("1") & ~x.contains(":"))
     return rows.select("p_partkey", labels.first_in(F.col("tags"), chosen).alias("slot"))
 
@@ -549,10 +551,10 @@ def delete_by_composite_key(spark, d):
     return tab.delete(rows.select("l_orderkey", "l_linenumber", "l_partkey"), rows.where("l_quantity < 3"), ["l_orderkey", "l_linenumber"])
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01'))")
+@query(f"SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE {DEAR})")
 def orphan_cascade(spark, d):
     orders = t(spark, d, "orders")
-    gone = orders.where("o_orderdate < timestamp_ntz '1995-01-01'").select("o_orderkey")
+    gone = orders.where(f"NOT ({DEAR})").select("o_orderkey")
     left = tab.cascade({"orders": orders.select("o_orderkey", "o_custkey"), "customer": t(spark, d, "customer").select("c_custkey")}, gone, "o_orderkey")
     return rel.orphans(left["customer"], "c_custkey", (left["orders"], "o_custkey"))
 

@@ -9,7 +9,9 @@ from tonelake.functions import signal, vectors
 from tonelake.operators import evaluation as ev
 from tonelake.operators import relational as rel
 from tonelake.operators import similarity as sim
+from tonelake.plans.joins import join_back
 from tonelake.queries import query, t
+from tonelake.sources.shared import materialize
 
 UNIT = "SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings"
 PAIRS = f"SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) AS cosine FROM ({UNIT}) a JOIN ({UNIT}) b ON a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.4"
@@ -80,15 +82,18 @@ def resampled_candidate_pairs(spark, d):
     return sim.self_join(rows, "vec_id", "v", 0.25, ["length"], sim.resampled_candidates).withColumn("cosine", F.round("cosine", 6))
 
 
-# Texts that repeat: documents with the same text are linked in a chain.
-LINKS = "SELECT lag(doc_id) OVER (PARTITION BY text ORDER BY doc_id) AS a, doc_id AS b FROM documents"
+# Texts that repeat: documents with the same text are linked to the first of them.
 COMPONENT = "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS component, count(*) OVER (PARTITION BY text) AS class_size FROM documents"
 
 
+def _links(docs):
+    rows = docs.select(F.sha2("text", 256).alias("h"), F.col("doc_id").alias("b"))
+    return join_back(rows, rows.groupBy("h").agg(F.min("b").alias("a")), ["h"]).where("a <> b").select("a", "b")
+
+
 def _classes(spark, d):
     docs = t(spark, d, "documents")
-    edges = docs.select(F.lag("doc_id").over(W.partitionBy(F.sha2("text", 256)).orderBy("doc_id")).alias("a"), F.col("doc_id").alias("b")).where("a is not null")
-    return sim.classes(docs, "doc_id", edges)
+    return sim.classes(docs, "doc_id", _links(docs))
 
 
 @query(COMPONENT)
@@ -116,25 +121,23 @@ def class_members(spark, d):
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS component, count(*) OVER (PARTITION BY text) AS class_size FROM documents WHERE doc_id % 3 <> 1")
 def components_within(spark, d):
     docs = t(spark, d, "documents").where("doc_id % 3 <> 1")
-    first = docs.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("a"))
-    edges = docs.select(F.sha2("text", 256).alias("h"), F.col("doc_id").alias("b")).join(first, "h").where("a <> b").select("a", "b")
     outside = t(spark, d, "documents").where("doc_id % 3 = 1").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"))
-    return sim.components_within(docs, "doc_id", edges.unionByName(outside))
+    return sim.components_within(docs, "doc_id", _links(docs).unionByName(outside))
 
 
-@query(f"WITH p AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS pos, length(text) AS size FROM ({COMPONENT}) JOIN documents USING (doc_id) WHERE doc_id < 400), r AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY n_chars DESC, doc_id) AS rn, min(pos) OVER (PARTITION BY component) AS place, count(*) OVER (PARTITION BY component) AS k FROM p) SELECT doc_id, component, place::INT AS pos, k AS class_size FROM r WHERE rn = 1")
+@query(f"WITH p AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS pos, length(text) AS size FROM (SELECT * FROM ({COMPONENT}) ORDER BY doc_id LIMIT 400) JOIN documents USING (doc_id)), r AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY n_chars DESC, doc_id) AS rn, min(pos) OVER (PARTITION BY component) AS place, count(*) OVER (PARTITION BY component) AS k FROM p) SELECT doc_id, component, place::INT AS pos, k AS class_size FROM r WHERE rn = 1")
 def collapse_page(spark, d):
-    page = _classes(spark, d).select("doc_id", "component").join(t(spark, d, "documents").where("doc_id < 400").select("doc_id", "n_chars"), "doc_id")
+    page = _classes(spark, d).select("doc_id", "component").join(rel.page(t(spark, d, "documents").select("doc_id", "n_chars"), [F.asc("doc_id")], 400, 0), "doc_id")
     page = page.withColumn("pos", F.row_number().over(W.orderBy("doc_id")))
     return rel.collapse(page, "component", "pos", [F.desc("n_chars"), F.asc("doc_id")]).select("doc_id", "component", "pos", "class_size")
 
 
-SETS = "SELECT label AS s, vec_id AS m FROM embeddings WHERE vec_id < 300"
+SETS = "SELECT label AS s, vec_id AS m FROM embeddings"
 NEAR = f"SELECT e.vec_id, s, min(list_distance(e.embedding::DOUBLE[], x.embedding::DOUBLE[])) AS distance FROM embeddings e, ({SETS}) q JOIN embeddings x ON x.vec_id = q.m GROUP BY ALL"
 
 
 def _sets(spark, d):
-    return t(spark, d, "embeddings").where("vec_id < 300").select(F.col("label").alias("s"), F.col("vec_id").alias("m"))
+    return t(spark, d, "embeddings").select(F.col("label").alias("s"), F.col("vec_id").alias("m"))
 
 
 @query(f"SELECT vec_id, s, round(distance, 5) AS distance FROM ({NEAR})")
@@ -143,9 +146,9 @@ def nearest_set_member(spark, d):
     return out.select("vec_id", F.col("_set").alias("s"), F.round("distance", 5).alias("distance"))
 
 
-@query(f"WITH n AS ({NEAR.replace('FROM embeddings e,', 'FROM (SELECT * FROM embeddings WHERE vec_id < 300) e,')}), w AS (SELECT q.s AS f, n.s AS s, avg(distance) AS d FROM n JOIN ({SETS}) q ON q.m = n.vec_id GROUP BY 1, 2) SELECT x.f AS a, x.s AS b, round(0.5 * (x.d + y.d), 5) AS distance FROM w x JOIN w y ON x.f = y.s AND x.s = y.f AND x.f < x.s")
+@query(f"WITH n AS ({NEAR}), w AS (SELECT q.s AS f, n.s AS s, avg(distance) AS d FROM n JOIN ({SETS}) q ON q.m = n.vec_id GROUP BY 1, 2) SELECT x.f AS a, x.s AS b, round(0.5 * (x.d + y.d), 5) AS distance FROM w x JOIN w y ON x.f = y.s AND x.s = y.f AND x.f < x.s")
 def chamfer_between_groups(spark, d):
-    out = sim.chamfer(t(spark, d, "embeddings").where("vec_id < 300"), "vec_id", "embedding", _sets(spark, d), "s", "m")
+    out = sim.chamfer(t(spark, d, "embeddings"), "vec_id", "embedding", _sets(spark, d), "s", "m")
     return out.withColumn("distance", F.round("distance", 5))
 
 
@@ -206,33 +209,33 @@ def auc(spark, d):
     return ev.auc(rows, "n_chars", F.col("toxic") == 1).select(F.round("auc", 6).alias("auc"))
 
 
-FOLDS = "SELECT vec_id, label, embedding, (('0x' || substr(md5(label::VARCHAR || 'f'), 1, 8))::BIGINT % 4)::INT AS fold FROM embeddings WHERE vec_id < 200"
+FOLDS = "SELECT vec_id, label, embedding, (('0x' || substr(md5(label::VARCHAR || 'f'), 1, 8))::BIGINT % 4)::INT AS fold FROM embeddings"
 
 
 @query(f"SELECT vec_id, fold FROM ({FOLDS})")
 def group_folds(spark, d):
-    return ev.group_folds(t(spark, d, "embeddings").where("vec_id < 200"), "label", "f", 4).select("vec_id", "fold")
+    return ev.group_folds(t(spark, d, "embeddings"), "label", "f", 4).select("vec_id", "fold")
 
 
-@query(f"WITH e AS ({FOLDS}), r AS (SELECT q.vec_id, q.label AS target, i.label AS other, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 9) DESC, i.vec_id) AS rank FROM e q JOIN e i ON q.fold <> i.fold) SELECT vec_id, target AS label, round(avg(other), 6) AS predicted FROM r WHERE rank <= 5 GROUP BY 1, 2")
+@query(f"WITH e AS ({FOLDS}), r AS (SELECT q.vec_id, q.label AS target, i.label AS other, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 9) DESC, i.vec_id) AS rank FROM e q JOIN e i ON q.fold <> i.fold WHERE q.vec_id % 20 = 0) SELECT vec_id, target AS label, round(avg(other), 6) AS predicted FROM r WHERE rank <= 5 GROUP BY 1, 2")
 def knn_regression(spark, d):
-    rows = ev.group_folds(t(spark, d, "embeddings").where("vec_id < 200"), "label", "f", 4)
-    return ev.knn_regression(rows, "vec_id", "embedding", "label", 5).withColumn("predicted", F.round("predicted", 6))
+    rows = ev.group_folds(t(spark, d, "embeddings"), "label", "f", 4)
+    return ev.knn_regression(rows, "vec_id", "embedding", "label", 5, F.col("vec_id") % 20 == 0).withColumn("predicted", F.round("predicted", 6))
 
 
-@query("WITH s AS (SELECT q.vec_id AS query, i.vec_id AS item, list_dot_product(q.embedding::DOUBLE[], list_transform(i.embedding, lambda x: x::DOUBLE * (1 + i.vec_id % 3))) AS s FROM embeddings q, embeddings i WHERE q.vec_id < 50 AND i.vec_id < 50), b AS (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY s DESC, item) AS rn FROM s) SELECT round(avg((query = item)::INT::DOUBLE), 6) AS share FROM b WHERE rn = 1")
+@query("WITH s AS (SELECT q.vec_id AS query, i.vec_id AS item, list_dot_product(q.embedding::DOUBLE[], list_transform(i.embedding, lambda x: x::DOUBLE * (1 + i.vec_id % 3))) AS s FROM embeddings q, embeddings i WHERE q.vec_id % 20 = 0), b AS (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY s DESC, item) AS rn FROM s) SELECT round(avg((query = item)::INT::DOUBLE), 6) AS share FROM b WHERE rn = 1")
 def rank_one_share(spark, d):
-    e = t(spark, d, "embeddings").where("vec_id < 50")
-    q = e.select(F.col("vec_id").alias("query"), F.col("embedding").alias("x"))
+    e = t(spark, d, "embeddings")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("x"))
     i = e.select(F.col("vec_id").alias("item"), F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("vec_id") % 3)).alias("y"))
-    return ev.rank_one(q.crossJoin(i).withColumn("s", vectors.dot(F.col("x"), F.col("y"))), "query", "item", "s").select(F.round("share", 6).alias("share"))
+    return ev.rank_one(ev.against(q, i).withColumn("s", vectors.dot(F.col("x"), F.col("y"))), "query", "item", "s").select(F.round("share", 6).alias("share"))
 
 
-@query("WITH p AS (SELECT q.vec_id AS query, i.vec_id AS item, round(list_distance(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 9) AS o, round(sqrt(pow(q.embedding[1]::DOUBLE - i.embedding[1]::DOUBLE, 2) + pow(q.embedding[2]::DOUBLE - i.embedding[2]::DOUBLE, 2)), 9) AS p FROM embeddings q, embeddings i WHERE q.vec_id < 80 AND i.vec_id < 80 AND q.vec_id <> i.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY o, item) AS ro, row_number() OVER (PARTITION BY query ORDER BY p, item) AS rp FROM p) SELECT round(1 - sum(CASE WHEN rp <= 5 AND ro > 5 THEN ro - 5 ELSE 0 END) * 2 / (80 * 5 * (2 * 80 - 3 * 5 - 1)), 6) AS trustworthiness FROM r")
+@query("WITH p AS (SELECT q.vec_id AS query, i.vec_id AS item, round(list_distance(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 9) AS o, round(sqrt(pow(q.embedding[1]::DOUBLE - i.embedding[1]::DOUBLE, 2) + pow(q.embedding[2]::DOUBLE - i.embedding[2]::DOUBLE, 2)), 9) AS p FROM embeddings q, embeddings i WHERE q.vec_id % 20 = 0 AND q.vec_id <> i.vec_id), n AS (SELECT count(*) AS n, count(*) FILTER (vec_id % 20 = 0) AS m FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY o, item) AS ro, row_number() OVER (PARTITION BY query ORDER BY p, item) AS rp FROM p) SELECT round(1 - sum(CASE WHEN rp <= 5 AND ro > 5 THEN ro - 5 ELSE 0 END) * 2 / (any_value(m) * 5 * (2 * any_value(n) - 3 * 5 - 1)), 6) AS trustworthiness FROM r, n")
 def trustworthiness(spark, d):
-    e = t(spark, d, "embeddings").where("vec_id < 80")
-    q, i = e.select(F.col("vec_id").alias("query"), F.col("embedding").alias("x")), e.select(F.col("vec_id").alias("item"), F.col("embedding").alias("y"))
-    pairs = q.join(i, F.col("query") != F.col("item")).withColumn("o", F.round(vectors.euclidean(F.col("x"), F.col("y")), 9))
+    e = t(spark, d, "embeddings")
+    q, i = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("x")), e.select(F.col("vec_id").alias("item"), F.col("embedding").alias("y"))
+    pairs = ev.against(q, i).where("query <> item").withColumn("o", F.round(vectors.euclidean(F.col("x"), F.col("y")), 9))
     pairs = pairs.withColumn("p", F.round(vectors.euclidean(F.slice("x", 1, 2), F.slice("y", 1, 2)), 9)).drop("x", "y")
     return ev.trustworthiness(pairs, "query", "item", "o", "p", 5).select(F.round("trustworthiness", 6).alias("trustworthiness"))
 
@@ -296,10 +299,13 @@ def sound_descriptors(spark, d):
 
 @query(None)
 def gain_pairs(spark, d):
-    """Waves and their copies at a quarter of the level, told apart from other pairs by the gain score."""
-    w = waves(spark, d).where("user_id < 20")
-    a = w.select(F.col("user_id").alias("a"), F.col("wave").alias("x"))
-    b = w.select(F.col("user_id").alias("b"), F.transform("wave", lambda v: F.bround(v * 0.25 * 128) / 128).alias("y"))
-    scored = a.crossJoin(b).withColumn("g", signal.pair_gain(F.col("x"), F.col("y"), F.lit(16), F.lit(8)))
+    """Waves and their copies at a quarter of the level: pairs of near lengths and like fingerprints, then the gain score."""
+    w = waves(spark, d)
+    soft = w.select((F.col("user_id") * 2 + 1).alias("id"), F.lit(8).alias("depth"), F.transform("wave", lambda v: F.bround(v * 0.25 * 128) / 128).alias("wave"))
+    rows = materialize(w.select((F.col("user_id") * 2).alias("id"), F.lit(16).alias("depth"), "wave").unionByName(soft), "waves")
+    prints = rows.select("id", signal.shape_print(F.col("wave")).alias("v"), F.size("wave").alias("length"))
+    pairs = sim.self_join(prints, "id", "v", 0.98, ["length"], sim.gain_candidates)
+    side = lambda n: rows.select(F.col("id").alias(n), F.struct("wave", "depth").alias(f"{n}_"))
+    scored = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").withColumn("g", signal.pair_gain(F.col("a_.wave"), F.col("b_.wave"), F.col("a_.depth"), F.col("b_.depth")))
     out = scored.select("a", "b", F.round(F.get("g", F.lit(0)), 4).alias("gain"), F.round(F.get("g", F.lit(2)), 4).alias("confidence"))
-    return out.withColumn("relation", signal.relation(F.col("gain"), F.col("confidence"), F.lit(True))).where("relation is not null")
+    return out.withColumn("relation", signal.relation(F.col("gain"), F.col("confidence"), F.col("a") % 2 != F.col("b") % 2)).where("relation is not null")

@@ -1,9 +1,9 @@
 import pytest
 
 from tests.oracle import check, connection
-from tonelake import queries, queries_vectors
+from tonelake import queries, queries_sources, queries_vectors
 
-assert queries_vectors
+assert queries_sources and queries_vectors
 
 
 @pytest.fixture(scope="module")

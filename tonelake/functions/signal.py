@@ -272,6 +272,28 @@ def pitch_of(wave: Column, rate: float) -> Column:
     return _mapped(lambda x: list(pitch(x, rate)), "array<double>", wave)
 
 
+def centred(wave: Column) -> Column:
+    """One channel without its constant part."""
+    mean = F.aggregate(wave, F.lit(0.0), lambda a, x: a + x) / F.size(wave)
+    return F.transform(wave, lambda x: x - mean)
+
+
+def in_bits(wave: Column, depth: int) -> Column:
+    """Requantised to ``depth`` bits, halves to even."""
+    levels = 2 ** (depth - 1)
+    return F.transform(wave, lambda x: F.greatest(F.lit(-float(levels)), F.least(F.lit(levels - 1.0), F.rint(x * levels))) / levels)
+
+
+def at_points(wave: Column, n: int) -> Column:
+    """``n`` points at even fractions of the duration."""
+    return _mapped(lambda x: resampled(x, n).tolist(), "array<double>", wave)
+
+
+def tuned(wave: Column, semitones: float) -> Column:
+    """Played faster by so many semitones."""
+    return _mapped(lambda x: retuned(x, semitones).tolist(), "array<double>", wave)
+
+
 def pair_gain(a: Column, b: Column, depth_a: Column, depth_b: Column) -> Column:
     """Gain, residual and confidence of a pair of waveforms."""
 

@@ -117,6 +117,16 @@ def trustworthiness(pairs: DataFrame, query: str, item: str, original: str, plac
     return sums.crossJoin(n).select((1 - F.col("_s") * 2 / (F.col("_m") * k * (2 * F.col("_n") - 3 * k - 1))).alias("trustworthiness"))
 
 
+def poisson_steps(n: int = 8) -> list[float]:
+    """The distribution function of Poisson(1) at 0 to n - 1."""
+    steps, p, total = [], 0.36787944117144233, 0.0
+    for k in range(n):
+        total += p
+        steps.append(total)
+        p /= k + 1
+    return steps
+
+
 def bootstrap(values: DataFrame, key: str, value: str, draws: int = 1000, low: float = 0.05, high: float = 0.95, seed: str = "0") -> DataFrame:
     """``(mean, low, high)``: percentile interval of the mean over resamples.
 
@@ -124,12 +134,7 @@ def bootstrap(values: DataFrame, key: str, value: str, draws: int = 1000, low: f
     but rows need not know each other, so draws are sums in the tasks.
     """
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(seed), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("double") / 2**32
-    steps, p, total = [], 0.36787944117144233, 0.0
-    for n in range(8):
-        total += p
-        steps.append(total)
-        p /= n + 1
-    times = reduce(lambda a, b: a + b, [(draw >= s).cast("int") for s in steps])
+    times = reduce(lambda a, b: a + b, [(draw >= s).cast("int") for s in poisson_steps()])
     rows = values.select(key, value, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("_t", times)
     means = rows.groupBy("draw").agg((F.sum(F.col(value) * F.col("_t")) / F.sum("_t")).alias("m"))
     edges = means.agg(F.percentile("m", F.lit(low)).alias("low"), F.percentile("m", F.lit(high)).alias("high"))

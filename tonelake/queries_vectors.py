@@ -31,7 +31,7 @@ def unit_normalise(spark, d):
     return _unit(spark, d).select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-@query(None)
+@query("SELECT vec_id, k::INT AS bin, round(list_avg(list_transform(embedding[(k * 64 // 5) + 1 : ((k + 1) * 64 + 4) // 5], lambda x: x::DOUBLE)), 6) AS mean FROM embeddings, unnest(range(5)) AS u(k)")
 def pooled_bands(spark, d):
     rows = t(spark, d, "embeddings").select("vec_id", F.posexplode(vectors.pooled(F.col("embedding"), 5)).alias("bin", "mean"))
     return rows.withColumn("mean", F.round("mean", 6))
@@ -240,17 +240,25 @@ def trustworthiness(spark, d):
     return ev.trustworthiness(pairs, "query", "item", "o", "p", 5).select(F.round("trustworthiness", 6).alias("trustworthiness"))
 
 
-@query(None)
+AVERAGE = f"SELECT query, avg(p) FILTER (rel = 1) AS ap FROM (SELECT *, (q_label = i_label)::INT AS rel, sum((q_label = i_label)::INT) OVER (PARTITION BY query ORDER BY rank) / rank AS p FROM ({RANKED})) GROUP BY 1 HAVING sum(rel) >= 5"
+TIMES = " + ".join(f"(u >= {step!r})::INT" for step in ev.poisson_steps())
+
+
+@query(
+    f"WITH v AS ({AVERAGE}), d AS (SELECT ap, k, ('0x' || substr(md5(query::VARCHAR || ':0:' || k::VARCHAR), 1, 8))::BIGINT::DOUBLE / 4294967296 AS u FROM v, unnest(range(1, 1001)) AS x(k)), m AS (SELECT k, sum(ap * ({TIMES})) / sum({TIMES}) AS m FROM d GROUP BY 1) SELECT round((SELECT avg(ap) FROM v), 6) AS mean, round(quantile_cont(m, 0.05), 6) AS low, round(quantile_cont(m, 0.95), 6) AS high FROM m"
+)
 def bootstrap_interval(spark, d):
     rows = ev.average_precision(_ranked(spark, d), F.col("q_label") == F.col("i_label"), 5)
-    out = ev.bootstrap(rows, "query", "ap", 200)
+    out = ev.bootstrap(rows, "query", "ap", 1000)
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
-@query(None)
+@query(
+    f"WITH r AS (SELECT query, k, item, q_label, i_label, row_number() OVER (PARTITION BY query, k ORDER BY md5(query::VARCHAR || ':' || item::VARCHAR || ':' || k::VARCHAR || ':0'), item) AS rank FROM ({RANKED}) x, unnest(range(1, 21)) AS y(k)), p AS (SELECT *, (q_label = i_label)::INT AS rel, sum((q_label = i_label)::INT) OVER (PARTITION BY query, k ORDER BY rank) / rank AS p FROM r), a AS (SELECT avg(p) FILTER (rel = 1) AS ap FROM p GROUP BY query, k HAVING sum(rel) >= 1) SELECT round(avg(ap), 6) AS ap FROM a"
+)
 def chance_level(spark, d):
     ranked = _ranked(spark, d).drop("rank")
-    return ev.chance_level(ranked, "query", "item", F.col("q_label") == F.col("i_label"), 5).select(F.round("ap", 6).alias("ap"))
+    return ev.chance_level(ranked, "query", "item", F.col("q_label") == F.col("i_label")).select(F.round("ap", 6).alias("ap"))
 
 
 @query("SELECT round(avg(s), 6) AS cosine FROM (SELECT list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 5 = 0)")

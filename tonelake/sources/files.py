@@ -65,11 +65,11 @@ def read_links(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``(links, problems)`` from a CSV with the columns location and link: good rows, and every bad one with a reason."""
     schema = T.StructType([T.StructField("location", T.StringType()), T.StructField("link", T.StringType()), T.StructField("_bad", T.StringType())])
     rows = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path)
-    rows = rows.select(labels.strip(F.col("location")).alias("location"), labels.strip(F.col("link")).alias("link"), "_bad")
+    rows = rows.select(F.coalesce(labels.strip(F.col("location")), F.lit("")).alias("location"), labels.strip(F.col("link")).alias("link"), "_bad")
     rows = rows.withColumn("twice", F.lit(False))
     twice = rows.groupBy("location").agg(F.count("*").alias("n")).where("n > 1").select("location", F.lit(True).alias("_twice"))
     rows = rows.drop("twice").join(twice, "location", "left")
-    reason = F.when(F.col("_bad").isNotNull(), "not two columns").when(F.coalesce(F.col("location"), F.lit("")) == "", "no location").when(~labels.page_url(F.col("link")), "no web address").when(F.col("_twice"), "location twice")
+    reason = F.when(F.col("_bad").isNotNull(), "not two columns").when(F.col("location") == "", "no location").when(~labels.page_url(F.col("link")), "no web address").when(F.col("_twice"), "location twice")
     rows = rows.withColumn("reason", reason)
     return rows.where("reason is null").select("location", "link"), rows.where("reason is not null").select("location", "link", "reason")
 
@@ -85,7 +85,7 @@ def write_annotations(df: DataFrame, path: str, order: list[str]) -> None:
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """``(place, entry)``: lines without comments and blanks, each entry once, in first-seen order (a driver-sized file)."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("place", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("place", "line"))
     entry = labels.strip(F.regexp_replace("line", "#.*$", ""))
     return lines.select("place", entry.alias("entry")).where("entry <> ''").groupBy("entry").agg(F.min("place").alias("place")).select("place", "entry")
 

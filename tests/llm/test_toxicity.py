@@ -22,6 +22,13 @@ def test_features_match_a_plain_loop():
     assert set(zip(row.tolist(), bucket.tolist())) == want and len(row) == len(want)
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    texts = ["", "word and word " * 30, "É" * 55, "short"]
+    whole = [x.tolist() for x in toxicity.features(texts)]
+    monkeypatch.setattr(toxicity, "CHUNK_CHARS", 37)
+    assert [x.tolist() for x in toxicity.features(texts)] == whole
+
+
 def test_held_out_quality(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")

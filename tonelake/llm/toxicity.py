@@ -24,7 +24,7 @@ from tonelake.sources.shared import discard, materialize
 
 BUCKET_BITS = 18
 SIZES = (4, 5, 6)
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 _GAP = " " * max(SIZES)
 _FACTOR, _MIX = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15
 
@@ -38,7 +38,7 @@ class Model:
 
 
 def chunks(texts: list[str]) -> Iterator[list[str]]:
-    """Runs of texts of about CHUNK_CHARS together; a longer text stands alone."""
+    """Runs of texts of about CHUNK_CHARS together; a longer text stands alone, and features() takes it in pieces."""
     run, size = [], 0
     for t in texts:
         if run and size + len(t) > CHUNK_CHARS:
@@ -50,29 +50,48 @@ def chunks(texts: list[str]) -> Iterator[list[str]]:
         yield run
 
 
+def _pieces(texts: list[str]) -> Iterator[tuple[int, str]]:
+    """Number and lower-cased text of each text, a long one in pieces that overlap by an n-gram but a character."""
+    for i, t in enumerate(texts):
+        padded, overlap = _GAP + t.lower() + _GAP, max(SIZES) - 1
+        for at in range(0, max(1, len(padded) - overlap), CHUNK_CHARS):
+            yield i, padded[at : at + CHUNK_CHARS + overlap]
+
+
 def features(texts: list[str], keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (text number, bucket), each once, of the n-grams of lower-cased texts; ``keep`` masks the buckets."""
-    padded = [_GAP + t.lower() + _GAP for t in texts]
+    done, run, size = [], [], 0
+    for piece in _pieces(texts):
+        if run and size + len(piece[1]) > CHUNK_CHARS:
+            done.append(_pairs(run, keep))
+            run, size = [], 0
+        run.append(piece)
+        size += len(piece[1])
+    pairs = np.unique(np.concatenate([*done, _pairs(run, keep)])) if run else np.zeros(0, np.int64)
+    return pairs >> BUCKET_BITS, pairs & np.int64((1 << BUCKET_BITS) - 1)
+
+
+def _pairs(pieces: list[tuple[int, str]], keep: np.ndarray | None) -> np.ndarray:
+    """Text number and bucket in one number, sorted, each once."""
+    owner, padded = np.array([i for i, _ in pieces], np.int64), [p for _, p in pieces]
     starts = np.cumsum([0, *map(len, padded)])[:-1]
     points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     points[(points >= 9) & (points <= 13)] = 32
-    width = np.int64(1 << BUCKET_BITS)
     gram, found = points, []
     for n in range(2, max(SIZES) + 1):
         gram = gram[:-1] * np.uint64(_FACTOR) + points[n - 1 :]
         if n in SIZES:
             bucket = ((gram * np.uint64(_MIX)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
             at = np.flatnonzero(keep[bucket]) if keep is not None else np.arange(len(bucket))
-            found.append((np.searchsorted(starts, at, "right") - 1) * width + bucket[at])
-    pairs = np.sort(np.concatenate(found))
-    pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]]
-    return pairs // width, pairs % width
+            found.append(owner[np.searchsorted(starts, at, "right") - 1] << BUCKET_BITS | bucket[at])
+    return np.unique(np.concatenate(found))
 
 
 def _sample(docs: DataFrame, labels: DataFrame, train: Column, rows: int) -> DataFrame:
     ids = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & train).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded, so it may be broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    # One text for each id, however often it is listed, so that the fit stays bounded.
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +126,8 @@ def _solve(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np.ndarray, n:
 def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, sample_rows: int = 12_000, vocabulary: int = 1024, alpha: float = 0.5, l2: float = 1e-4, steps: int = 300) -> Model:
     """Fit on labelled documents for which ``train`` (over the columns of ``labels``) holds.
 
-    Null ids and labels are left out; a document labelled twice is toxic if any label says so. Without toxic or
+    Null ids and labels are left out; a document labelled twice is toxic if any label says so, and of rows that repeat
+    an id one text counts. Without toxic or
     without clean examples nothing can be told apart: the score is then the share of toxic examples, 0 without any.
     """
     sample = materialize(_sample(docs, labels, F.lit(True) if train is None else train, sample_rows), "toxicity-sample")
@@ -175,7 +195,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **fitti
     """``(doc_id, held_out, score, predicted)``, one row per row of ``docs``.
 
     Learns from labels of documents that are not held out. Null and empty texts get the score of a text without
-    n-grams, a null doc_id is not held out, repeated rows stay repeated, and other columns are not read.
+    n-grams, a null doc_id is not held out, repeated rows stay repeated, and other columns are not read. Very long texts
+    are taken in pieces that overlap, with the same features. An empty table gives an empty result.
     """
     rows = docs.select("doc_id", "text")
     model = fit(rows, labels.select("doc_id", "toxic"), ~held_out(F.col("doc_id")), **fitting)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tonelake.functions import vectors
 from tonelake.functions.hashing import class_hash
 from tonelake.plans.graph import connected_components
+from tonelake.plans.joins import join_back
 
 BLOCK = 512
 
@@ -108,7 +109,7 @@ def classes(items: DataFrame, key: str, edges: DataFrame, a: str = "a", b: str =
     found = connected_components(edges, a, b)
     rows = items.select(key).join(found, items[key] == found.node, "left").select(key, F.coalesce("component", key).alias("component"))
     sizes = rows.groupBy("component").agg(F.count("*").alias("class_size"))
-    return rows.join(sizes, "component")
+    return join_back(rows, sizes, ["component"]).select("component", key, "class_size")
 
 
 def class_hashes(members: DataFrame, key: str, component: str = "component") -> DataFrame:

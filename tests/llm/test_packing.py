@@ -72,3 +72,10 @@ def test_edge_rows(spark):
     assert {d: flat[d] for d in (1, 2, 3, 4, None)} == {d: want[d] for d in (1, 2, 3, 4, None)}
     assert flat[5] == want[5] * 2
     assert packing.pack(docs.limit(0), RANKS).count() == 0
+
+
+def test_ids_beyond_two_bytes(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "")], "doc_id long, text string")
+    rows = packing.pack(docs, RANKS, length=16, end_id=70_000, pad_id=1 << 20).collect()
+    ids = [np.frombuffer(bytes(r.ids), np.uint32) for r in rows]
+    assert all(len(i) == 16 and i[r.n_tokens - 1] == 70_000 and (i[r.n_tokens :] == 1 << 20).all() for i, r in zip(ids, rows))

@@ -86,7 +86,7 @@ def position_ids(cu_seqlens: list[int], length: int) -> np.ndarray:
 def pack(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, end_id: int = END, pad_id: int = END, group_tokens: int = 2_000_000) -> DataFrame:
     """``(task, row, ids, n_tokens, cu_seqlens, resets, segments)``: packed rows of ``length`` ids.
 
-    ``ids``: little-endian uint16, padded with ``pad_id``; ``cu_seqlens``: borders of the segments, from 0 to
+    ``ids``: little-endian uint16 (uint32 if an id needs it), padded with ``pad_id``; ``cu_seqlens``: borders of the segments, from 0 to
     ``n_tokens``; ``resets``: where positions start again from zero; ``segments``: doc_id, part and size of each piece
     in order. Every document ends with ``end_id``, so null and empty texts are one token; a document's parts, in order,
     join to its ids. Null ids and repeated rows are kept; an empty table gives no rows; other columns are not read.
@@ -95,6 +95,8 @@ def pack(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     with open(ranks_path, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())
+    largest = max(end_id, pad_id, *(int(line.split()[1]) for line in ranks.value.splitlines() if line))
+    width = np.uint16 if largest < 1 << 16 else np.uint32
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -104,7 +106,7 @@ def pack(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str
 
         def packed() -> pa.RecordBatch:
             bins = best_fit([len(p) for p in pieces], length)
-            matrix = np.full((len(bins), length), pad_id, np.uint16)
+            matrix = np.full((len(bins), length), pad_id, width)
             used, cu, segments = [], [], []
             for r, members in enumerate(bins):
                 borders = np.cumsum([0, *[len(pieces[m]) for m in members]])
@@ -126,7 +128,7 @@ def pack(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 tokens = encoding.encode_to_numpy(text.as_py(), disallowed_special=())
-                tokens = np.append(tokens, end_id).astype(np.uint16)
+                tokens = np.append(tokens, end_id).astype(width)
                 for part, at in enumerate(range(0, len(tokens), length)):
                     ids.append(doc_id)
                     parts.append(part)

@@ -138,5 +138,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(links(prints.select("fp").distinct(), distance, cell_rows))
     rooted = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("first"))
-    classes = rooted.join(names, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.rid").alias("kept"))
+    classes = join_back(rooted, names, ["root"]).select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.rid").alias("kept"))
     return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "kept")

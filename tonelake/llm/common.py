@@ -10,6 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Stored tables of ids and hashes are broadcast up to this many rows, about 20 MB.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a stored table of ids and hashes, to be broadcast if its rows are counted few enough; else as it is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
     """``(doc_id, rid, text)``: null texts become empty; ``rid`` is a hash of id and text. ``carry``: ``row`` has the whole row.
 

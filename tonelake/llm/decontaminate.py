@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.llm.common import keyed, same
+from tonelake.llm.common import BROADCAST_ROWS, keyed, same
 from tonelake.sources.shared import materialize
 
 WINDOW = 8
@@ -148,8 +148,10 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = 0.6, id_co
         pos = F.when((F.col("length") == n) & (F.col("place") >= start) & (F.col("place") < end) & whole, F.col("place") - start).otherwise(pos)
         start = end
     at = at.select("doc_id", "rid", F.struct("w", "length", pos.alias("pos")).alias("hit")).where("hit.pos is not null")
-    # Few documents have hits: as a table of known size it is broadcast by Spark while it is small.
+    # Few documents have hits: the table is broadcast while they are counted few enough.
     at = materialize(at.groupBy("doc_id", "rid").agg(F.collect_set("hit").alias("hits")), "hits")
+    n_hits = at.agg(F.coalesce(F.sum(F.size("hits")), F.lit(0))).first()[0]
+    at = F.broadcast(at) if n_hits <= BROADCAST_ROWS else at
     # The values in the slots come from the texts of the documents with hits, split once for each document.
     both = rows.alias("a").join(at.alias("b"), same("doc_id", "rid")).select("a.doc_id", "a.rid", "b.hits", _raw_tokens(spaced(F.col("a.text"))).alias("raw"))
     values = F.transform("hits", lambda h: F.struct(h["w"].alias("w"), h["length"].alias("length"), h["pos"].alias("pos"), F.slice("raw", h["pos"] + 1, h["length"]).alias("raw")))

@@ -40,7 +40,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every paragraph with a licence term, its family, and whether a template confirms it."""
+    """Every paragraph that states a licence, its family, and whether a template confirms it."""
     return licences.scan(table(spark, sf_dir, "documents"))
 
 

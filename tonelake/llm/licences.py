@@ -182,7 +182,7 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A line break after a line of WRAPPED characters or more that ends in a letter, digit, comma, quote or bracket counts
     as a space, unless an empty line follows. Paragraphs of over LONG_LINE characters are taken by sentence, so no row but a long sentence is long.
     """
-    joined = F.regexp_replace("text", rf"(?<=[^\n]{{{WRAPPED}}})(?<=[\p{{L}}\p{{N}},)\"'])[ \t]*\r?\n[ \t]*(?=[^\s])", " ")
+    joined = F.regexp_replace("text", rf"\n(?<=[^\n]{{{WRAPPED}}}[\p{{L}}\p{{N}},)\"'][ \t\r]{{0,4}}\n)[ \t]*(?=[^\s])", " ")
     parts = F.flatten(F.transform(F.split(joined, "\n"), lambda line: F.when(F.length(line) > LONG_LINE, F.split(line, r"(?<=[.!?;])\s+")).otherwise(F.array(line))))
     return keyed(docs, id_col, text_col).select("doc_id", "rid", F.posexplode(parts).alias("paragraph", "text")).where(F.col("text").rlike(r"[\p{L}\p{N}]"))
 

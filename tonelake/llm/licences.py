@@ -128,13 +128,20 @@ def grams(tokens: Column) -> Column:
     return once(tokens, lambda t: F.array_distinct(F.concat(t, F.filter(both(t), lambda pair: pair.isNotNull()))))
 
 
+def features(tokens: Column) -> Column:
+    """Hashes of words and of pairs of neighbouring words: what the classifier counts, once or more often."""
+    before = lambda h: F.greatest(F.size(h) - 1, F.lit(0))
+    pairs = lambda h: F.zip_with(F.slice(h, 1, before(h)), F.slice(h, 2, before(h)), lambda a, b: F.xxhash64(a, b))
+    return once(F.transform(tokens, lambda w: F.xxhash64(w)), lambda h: F.concat(h, pairs(h)))
+
+
 def classes() -> list[str]:
     """None, unknown and the families: a label is a place in this list."""
     return [NONE, UNKNOWN, *sorted({f for f, _ in TEMPLATES})]
 
 
 def examples(spark: SparkSession, rounds: int = 15) -> DataFrame:
-    """``(label, grams)``: templates and other sentences, changed by rules that a hash draws from, and made-up words."""
+    """``(label, hashes)``: templates and other sentences, changed by rules that a hash draws from, and made-up words."""
     named = classes()
     texts = [(named.index(f), t) for f, t in TEMPLATES] + [(named.index(UNKNOWN), t) for t in UNNAMED] + [(named.index(NONE), t) for t in OTHERS]
     base = spark.createDataFrame([(float(label), t) for label, t in texts], "label double, text string")
@@ -144,17 +151,17 @@ def examples(spark: SparkSession, rounds: int = 15) -> DataFrame:
     kept = F.filter("t", lambda w, i: draw(i) < share)
     strange = lambda k: F.transform(F.sequence(F.lit(1), 1 + F.pmod(F.xxhash64("text", "round", F.lit(k)), F.lit(6)).cast("int")), lambda i: F.element_at(F.array(*map(F.lit, FILLER)), 1 + F.pmod(F.xxhash64("text", "round", F.lit(k), i), F.lit(len(FILLER))).cast("int")))
     around = F.when(F.col("round") % 3 == 0, kept).when(F.col("round") % 3 == 1, F.concat(strange(-1), kept)).otherwise(F.concat(kept, strange(-2)))
-    varied = rows.select("label", grams(around).alias("grams")).where(F.size("grams") > 0)
+    varied = rows.select("label", features(around).alias("hashes")).where(F.size("hashes") > 0)
     # Common words among words that occur nowhere else stand for all other paragraphs, one to 120 words long.
     size = 1 + F.pmod(F.xxhash64("id"), F.lit(120)).cast("int")
     common = F.element_at(F.split(F.lit(COMMON), " "), 1 + F.pmod(F.xxhash64("id", F.col("x")), F.lit(len(COMMON.split()))).cast("int"))
     word = F.when(F.pmod(F.xxhash64("x", "id"), F.lit(3)) > 0, common).otherwise(F.hex(F.pmod(F.xxhash64("id", "x"), F.lit(1 << 40))))
     made_up = spark.range(len(texts) * rounds // 2).select("id", F.explode(F.sequence(F.lit(1), size)).alias("x")).select("id", "x", word.alias("w")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("x", "w")))["w"].alias("t"))
-    return varied.union(made_up.select(F.lit(0.0), grams(F.col("t"))))
+    return varied.union(made_up.select(F.lit(0.0), features(F.col("t"))))
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
-    return HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True).transform(rows)
+    return HashingTF(inputCol="hashes", outputCol="features", numFeatures=FEATURES, binary=True).transform(rows)
 
 
 def _calibrated(raw: Column, temperature: float) -> Column:
@@ -169,7 +176,7 @@ def train(spark: SparkSession) -> tuple[LogisticRegressionModel, float]:
     model = LogisticRegression(family="multinomial", regParam=0.001, maxIter=40, standardization=False).fit(rows)
     rows.unpersist()
     apart = spark.createDataFrame([(classes().index(f), t) for f, t in CALIBRATION], "label int, text string").coalesce(1)
-    held = model.transform(_vectors(apart.withColumn("grams", grams(words(F.col("text")))))).select("label", vector_to_array("rawPrediction").alias("raw"))
+    held = model.transform(_vectors(apart.withColumn("hashes", features(words(F.col("text")))))).select("label", vector_to_array("rawPrediction").alias("raw"))
     grid = [0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8]
     loss = lambda t: F.avg(-F.log(F.greatest(F.element_at(_calibrated(F.col("raw"), t), F.col("label") + 1), F.lit(1e-12))))
     losses = held.agg(*[loss(t).alias(f"t{i}") for i, t in enumerate(grid)]).first()
@@ -199,13 +206,13 @@ def scan(docs: DataFrame, confidence: float = 0.5, similarity: float = 0.6, id_c
     """
     spark = docs.sparkSession
     model, temperature = train(spark)
-    found = paragraphs(docs, id_col, text_col).withColumn("grams", grams(words(F.col("text"))))
-    scored = model.transform(_vectors(found)).select("doc_id", "paragraph", "text", "grams", vector_to_array("rawPrediction").alias("raw"))
+    found = paragraphs(docs, id_col, text_col).withColumn("hashes", features(words(F.col("text"))))
+    scored = model.transform(_vectors(found)).select("doc_id", "paragraph", "text", vector_to_array("rawPrediction").alias("raw"))
     scored = scored.withColumn("p", _calibrated(F.col("raw"), temperature)).where(F.col("p")[0] < 0.5)
     stated = F.slice("p", 2, len(classes()))
     best = F.array_max(F.slice("p", 3, len(classes())))
     family = F.when(best < confidence, UNKNOWN).otherwise(F.element_at(F.array(*map(F.lit, classes()[2:])), F.array_position(F.slice("p", 3, len(classes())), best).cast("int")))
-    scored = scored.select("doc_id", "paragraph", "text", "grams", family.alias("family"), F.array_max(stated).alias("probability"))
+    scored = scored.select("doc_id", "paragraph", "text", grams(words(F.col("text"))).alias("grams"), family.alias("family"), F.array_max(stated).alias("probability"))
     # The templates are a fixed list, so they stand in the expression instead of a join.
     known = [(f, F.split(F.lit(_pairs(t)), "\\|")) for f, t in TEMPLATES]
     share = F.greatest(*[F.when(F.col("family") == f, F.size(F.array_intersect(p, F.col("grams"))) / F.size(p)) for f, p in known])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.llm import decontaminate, licences, linededup, packing, simhash, suffixdedup, topk, toxicity, warc, wfst
+from tonelake.llm import conversations, decontaminate, licences, linededup, mixing, negatives, packing, simhash, suffixdedup, topk, toxicity, warc, wfst
 from tonelake.llm.common import table
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -60,6 +60,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("text", 256))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every hundredth vector and each of its five best of the same label, the ten best of other labels at 30 to 90 percent of its score."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90, scale=256)
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation of the damaged table: its faults, the cheapest repair's cost and letters, and the hash of the repaired rows."""
+    rows = table(spark, sf_dir, "conversations")
+    edits, report = conversations.repair(conversations.damaged(rows))
+    return conversations.summaries(rows, report, conversations.digests(edits))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that a mix of the sources by weights 1, 2, 3 takes of it."""
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -71,6 +90,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_negatives": op11_negatives,
+    "op12_conversations": op12_conversations,
+    "op13_mixing": op13_mixing,
 }
 
 #: SQL for the operators that it can express; the tests hold the others against brute force.
@@ -111,4 +133,30 @@ ORACLES: dict[str, str] = {
               FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op11_negatives": """
+        WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+        s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS own, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * c.v[i]))::BIGINT AS score
+              FROM e a JOIN e c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        n AS (SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+              FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT own AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+        SELECT * FROM n WHERE rank <= 10""",
+    "op13_mixing": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+                   ('0x' || substr(md5(concat_ws(':', coalesce(doc_id::VARCHAR, ''), '0', md5(coalesce(text, '')))), 1, 15))::BIGINT AS h FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM d GROUP BY 1),
+        w AS (SELECT *, (sid - 1) % 3 + 1 AS weight, 3 * source_size AS cap, (3 * source_size)::DOUBLE / ((sid - 1) % 3 + 1)::DOUBLE AS share, (SELECT sum(source_size) FROM s)::BIGINT AS total FROM s),
+        f AS (SELECT *, sum(cap) OVER o - cap AS caps, sum(weight) OVER () - sum(weight) OVER o + weight AS weights FROM w WINDOW o AS (ORDER BY share, sid ROWS UNBOUNDED PRECEDING)),
+        l AS (SELECT arg_min((total - caps)::DOUBLE / weights::DOUBLE, (share, sid)) FILTER (WHERE share >= (total - caps)::DOUBLE / weights::DOUBLE) AS level FROM f),
+        t AS (SELECT sid, source, source_size, CASE WHEN total > 0 THEN least(coalesce(level, 'infinity'::DOUBLE) * weight, cap::DOUBLE) ELSE 0.0 END AS target FROM w, l),
+        b AS (SELECT *, round(target)::BIGINT AS budget, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS base FROM t),
+        p AS (SELECT sid, size, h, row_number() OVER (PARTITION BY sid ORDER BY h) AS i, max(budget - base * source_size) OVER (PARTITION BY sid) AS rest FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source WHERE size > 0),
+        g AS (SELECT sid, i, h, size, size <= rest AS taken, rest - CASE WHEN size <= rest THEN size ELSE 0 END AS gap FROM p WHERE i = 1
+              UNION ALL
+              SELECT p.sid, p.i, p.h, p.size, p.size <= g.gap, g.gap - CASE WHEN p.size <= g.gap THEN p.size ELSE 0 END FROM g JOIN p ON p.sid = g.sid AND p.i = g.i + 1),
+        z AS (SELECT sid, arg_min(h, (size, h)) FILTER (WHERE NOT taken) AS h, min(size) FILTER (WHERE NOT taken) AS size, min(gap) AS gap FROM g GROUP BY 1),
+        x AS (SELECT sid, h FROM g WHERE taken UNION ALL SELECT sid, h FROM z WHERE size < 2 * gap)
+        SELECT doc_id, size, source_size, target, ((base + (x.h IS NOT NULL)::INT) * size)::BIGINT AS taken
+        FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source LEFT JOIN x ON x.sid = b.sid AND x.h = d.h AND size > 0""",
 }

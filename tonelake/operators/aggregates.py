@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tonelake.functions import labels, pitch
+from tonelake.plans.ranks import interpolated, numbered
 
 
 def dominant(df: DataFrame, key: str | list[str], value: str, out: str = "dominant") -> DataFrame:
@@ -75,9 +76,8 @@ def label_vocabulary(rows: DataFrame, label: str) -> DataFrame:
 
 
 def vocabulary_ranks(counts: DataFrame, path: str, recorded: DataFrame) -> DataFrame:
-    """Recorded paths by their rank, the others after them by name; the vocabulary is a driver-sized table."""
-    joined = counts.join(recorded, path, "left")
-    return joined.withColumn("place", F.row_number().over(W.orderBy(F.col("rank").asc_nulls_last(), path)))
+    """``place``: recorded paths by their rank, the others after them by name."""
+    return numbered(counts.join(recorded, path, "left"), [F.col("rank").isNull(), F.col("rank"), F.col(path)], "place")
 
 
 def weighted_mean(df: DataFrame, key: str, value: str, weight: str) -> DataFrame:
@@ -136,3 +136,29 @@ def quantile_map(df: DataFrame, group: str, weight: str, order: str) -> DataFram
     """``share``: the part of a group's weight up to and including each row: the axis of a piecewise-linear time map."""
     run = W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     return df.withColumn("share", F.sum(weight).over(run) / F.sum(weight).over(W.partitionBy(group)))
+
+
+def time_map(times: DataFrame, shares: DataFrame, group: str, other: str, at: str, share: str, out: str = "source_time") -> DataFrame:
+    """``out``: the time in the group named by ``other`` by which that group has reached the row's ``share``.
+
+    ``times`` has other and share, ``shares`` the curve of each group: (group, share, at), rising in both. The curves are
+    inverted, so between two of a curve's rows the time is on the line between them.
+    """
+    knots = shares.select(F.col(group).alias(other), F.col(share).alias(share), F.col(at).alias("_at"))
+    return interpolated(times, knots, other, share, "_at", out)
+
+
+def vocabulary_tree(counts: DataFrame) -> DataFrame:
+    """``(place, line)``: the vocabulary as an indented tree, depth first, the most used first and then by name.
+
+    ``counts`` has path and n of every path that is used, its ancestors included. A path's place is the order of the
+    (falling count, name) of all its ancestors from the top.
+    """
+    step = F.split("path", labels.STEP)
+    above = counts.select("path", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(step)), lambda k: F.array_join(F.slice(step, 1, k), labels.STEP))).alias("depth", "upper"))
+    used = counts.select(F.col("path").alias("upper"), "n")
+    named = above.join(used, "upper").withColumn("name", F.element_at(F.split("upper", labels.STEP), -1))
+    keys = named.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("depth", (-F.col("n")).alias("less"), "name"))).alias("key"))
+    ordered = numbered(keys, [F.transform("key", lambda k: F.struct(k["less"], k["name"])), F.col("path")], "place")
+    own = F.element_at("key", -1)
+    return ordered.select("place", F.concat(F.repeat(F.lit("    "), F.size("key") - 1), F.format_string("%5d  %s", -own["less"], own["name"])).alias("line"))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tonelake.functions import vectors
+from tonelake.plans.ranks import running_sums
 
 
 def ranked_others(items: DataFrame, key: str, vector: str, group: str | None = None, queries: Column | None = None, carry: list[str] | None = None) -> DataFrame:
@@ -64,13 +65,16 @@ def rank_summary(ranks: DataFrame, by: list[str] | None = None) -> DataFrame:
 def average_ranks(df: DataFrame, value: str, out: str, group: list[str] | None = None) -> DataFrame:
     """Ranks in which equal values share their mean place.
 
-    Places come from value counts: a running sum over distinct values. Without ``group`` that sum is one ordered pass
-    over the distinct values, not over the rows.
+    Places come from value counts: a running sum over distinct values, in each group or, without ``group``, over ranges
+    of the values, so that no task sees all of them.
     """
     keys = group or []
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    before = F.sum("_c").over(W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    places = counts.withColumn("_s", before).select(*keys, value, (F.col("_s") - (F.col("_c") - 1) / 2).alias(out))
+    if keys:
+        counts = counts.withColumn("_s", F.sum("_c").over(W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)))
+    else:
+        counts = running_sums(counts, [F.col(value)], {"_s": "_c"})
+    places = counts.select(*keys, value, (F.col("_s") - (F.col("_c") - 1) / 2).alias(out))
     return df.join(places, [*keys, value])
 
 

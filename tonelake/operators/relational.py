@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tonelake.functions import labels
+from tonelake.plans.ranks import numbered
 
 
 def page(df: DataFrame, order: list[Column], limit: int = 50, offset: int = 0) -> DataFrame:
@@ -104,11 +105,12 @@ def rank_first_use(uses: DataFrame, item: str, position: str, known: DataFrame |
     """``(item, rank)``: items ranked from 1 by first use; known ones keep their rank and new ones follow the largest."""
     first = uses.groupBy(item).agg(F.min(position).alias("_first"))
     if known is None:
-        return first.select(item, F.row_number().over(W.orderBy("_first", item)).alias("rank"))
+        return numbered(first, [F.col("_first"), F.col(item)], "rank").select(item, "rank")
     new = first.join(known, item, "left_anti")
     most = known.agg(F.coalesce(F.max("rank"), F.lit(0)).alias("_most"))
-    ranked = new.select(item, F.row_number().over(W.orderBy("_first", item)).alias("rank")).crossJoin(F.broadcast(most))
-    return known.select(item, "rank").unionByName(ranked.select(item, (F.col("rank") + F.col("_most")).cast("int").alias("rank")))
+    most = most.first()[0]
+    ranked = numbered(new, [F.col("_first"), F.col(item)], "rank").select(item, (F.col("rank") + most).alias("rank"))
+    return known.select(item, F.col("rank").cast("long").alias("rank")).unionByName(ranked)
 
 
 def validate(df: DataFrame, rules: dict[str, Column]) -> DataFrame:

@@ -16,6 +16,7 @@ from tonelake.functions import hashing, labels, pitch, vectors
 from tonelake.operators import aggregates as agg
 from tonelake.operators import history, publish
 from tonelake.operators import relational as rel
+from tonelake.plans.ranks import numbered
 from tonelake.sources import tables as tab
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -353,16 +354,14 @@ def label_jaccard(spark, d):
 @query(f"SELECT path, row_number() OVER (ORDER BY min(p_partkey), path)::INT AS rank FROM ({CLOSED}) GROUP BY path")
 def tag_first_use_rank(spark, d):
     uses = _labelled(spark, d).select("p_partkey", F.explode(labels.closure(labels.written_paths(F.col("label")))).alias("p"))
-    return rel.rank_first_use(uses.select("p_partkey", labels.format_path(F.col("p")).alias("path")), "path", "p_partkey")
+    return rel.rank_first_use(uses.select("p_partkey", labels.format_path(F.col("p")).alias("path")), "path", "p_partkey").withColumn("rank", F.col("rank").cast("int"))
 
 
 @query(f"WITH c AS (SELECT path, count(*) AS n FROM ({CLOSED}) GROUP BY 1), r AS (SELECT path, row_number() OVER (ORDER BY n DESC, path) AS rank FROM c WHERE n > 5) SELECT path, row_number() OVER (ORDER BY rank NULLS LAST, path)::INT AS place FROM c LEFT JOIN r USING (path)")
 def vocabulary_ranks(spark, d):
-    from pyspark.sql import Window as W
-
     counts = agg.closure_counts(_labelled(spark, d), "label").select("path", "n")
-    recorded = counts.where("n > 5").select("path", F.row_number().over(W.orderBy(F.desc("n"), "path")).alias("rank"))
-    return agg.vocabulary_ranks(counts, "path", recorded).select("path", "place")
+    recorded = numbered(counts.where("n > 5"), [F.desc("n"), F.col("path")], "rank").select("path", "rank")
+    return agg.vocabulary_ranks(counts, "path", recorded).select("path", F.col("place").cast("int").alias("place"))
 
 
 @query(f"WITH c AS (SELECT path, len(string_split(path, ': ')) AS depth, count(*) AS n FROM ({CLOSED}) GROUP BY 1) SELECT 'used once' AS finding, path AS name FROM c WHERE n = 1 UNION ALL SELECT 'at several depths', name FROM (SELECT list_last(string_split(path, ': ')) AS name, count(DISTINCT depth) AS k FROM c GROUP BY 1) WHERE k > 1")

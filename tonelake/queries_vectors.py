@@ -9,6 +9,7 @@ from tonelake.functions import signal, vectors
 from tonelake.operators import evaluation as ev
 from tonelake.operators import relational as rel
 from tonelake.operators import similarity as sim
+from tonelake.operators import variants
 from tonelake.plans.joins import join_back
 from tonelake.queries import query, t
 from tonelake.sources.shared import materialize
@@ -278,19 +279,25 @@ def waves(spark, d):
     return rows.select("user_id", F.transform("r", lambda x: x["value"] / F.greatest(peak, F.lit(1e-9))).alias("wave"))
 
 
+def wave_frames(spark, d):
+    """(user_id, i, x): the same, a row for each value."""
+    rows = variants.frames(t(spark, d, "events"), "user_id", "event_id", "value")
+    peaks = rows.groupBy("user_id").agg(F.greatest(F.max(F.abs("x")), F.lit(1e-9)).alias("peak"))
+    return join_back(rows, peaks, ["user_id"]).select("user_id", "i", (F.col("x") / F.col("peak")).alias("x"))
+
+
 WAVES = "SELECT user_id, list(value ORDER BY event_id) AS r, max(abs(value)) AS peak, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1"
 
 
 @query(f"SELECT user_id, coalesce(list_max(list_transform(range(1, n + 1), lambda i: CASE WHEN abs(r[i] / greatest(peak, 1e-9)) > 1.0 / 128 THEN i ELSE 0 END)), 0)::INT AS frames FROM ({WAVES})")
 def trim_tail(spark, d):
-    return waves(spark, d).select("user_id", signal.trimmed(F.col("wave")).alias("frames"))
+    return variants.trimmed_lengths(wave_frames(spark, d), "user_id")
 
 
 @query(f"SELECT user_id, k::INT AS bucket, round(list_min(r[a + 1 : b]) / greatest(peak, 1e-9), 9) AS lowest, round(list_max(r[a + 1 : b]) / greatest(peak, 1e-9), 9) AS highest FROM (SELECT user_id, r, peak, k, k * (n // 32) + least(k, n % 32) AS a, (k + 1) * (n // 32) + least(k + 1, n % 32) AS b FROM ({WAVES}), unnest(range(32)) AS u(k)) WHERE b > a")
 def thumbnail_buckets(spark, d):
-    rows = waves(spark, d).select("user_id", F.size("wave").alias("n"), signal.thumbnail(F.col("wave")).alias("x"))
-    rows = rows.select("user_id", "n", F.posexplode(F.arrays_zip(F.slice("x", 1, 32).alias("lo"), F.slice("x", 33, 32).alias("hi"))).alias("bucket", "m"))
-    return rows.where("bucket < n").select("user_id", "bucket", F.round("m.lo", 9).alias("lowest"), F.round("m.hi", 9).alias("highest"))
+    out = variants.thumbnails(wave_frames(spark, d), "user_id")
+    return out.select("user_id", "bucket", F.round("lowest", 9).alias("lowest"), F.round("highest", 9).alias("highest"))
 
 
 @query(None)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 
@@ -40,6 +44,34 @@ def latest(events: DataFrame, key: str, order: list[str], carry: list[str]) -> D
     return events.groupBy(key).agg(F.max_by(F.struct(*carry), F.struct(*order)).alias("_s")).select(key, "_s.*")
 
 
+def budget_stream(events: DataFrame, key: str, at: str, cost: str, tie: str, capacity: float, refill: float, late: str = "1 hour") -> DataFrame:
+    """``(key, at, tie, tokens)`` like :func:`tonelake.plans.ranks.budgets`, from a stream whose batches come in order of time.
+
+    The state of a key is what its budget holds and since when. Once a budget must be full again the watermark drops the
+    state: a key that comes back starts full, which is the same. Rows behind the watermark are dropped.
+    """
+    kinds = {c: events.schema[c].dataType.simpleString() for c in (key, tie)}
+    rows = _watermarked(events.select(key, at, cost, tie), at, late)
+
+    def charge(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        tokens, since = state.get if state.exists else (capacity, None)
+        pdf = pd.concat([*batches]).sort_values([at, tie])
+        seconds, held = pdf[at].astype("datetime64[us]").astype("int64") / 1e6, []
+        for now, spent in zip(seconds, pdf[cost]):
+            tokens = min(capacity, tokens + (now - since) * refill if since is not None else capacity)
+            tokens, since = tokens - (0.0 if pd.isna(spent) else float(spent)), now
+            held.append(tokens)
+        state.update((tokens, since))
+        state.setTimeoutTimestamp(max(int((since + (capacity - tokens) / refill) * 1000), state.getCurrentWatermarkMs()) + 1)
+        yield pdf[[key, at, tie]].assign(tokens=held)
+
+    schema = f"{key} {kinds[key]}, {at} timestamp, {tie} {kinds[tie]}, tokens double"
+    return rows.groupBy(key).applyInPandasWithState(charge, schema, "tokens double, since double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there now, into Parquet, and return the written table."""
     if mode == "append":

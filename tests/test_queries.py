@@ -1,9 +1,9 @@
 import pytest
 
 from tests.oracle import check, connection
-from tonelake import queries, queries_plans, queries_sources, queries_vectors
+from tonelake import queries, queries_files, queries_plans, queries_sources, queries_vectors
 
-assert queries_plans and queries_sources and queries_vectors
+assert queries_files and queries_plans and queries_sources and queries_vectors
 
 
 @pytest.fixture(scope="module")

@@ -152,3 +152,66 @@ def test_wav_files(spark, tmp_path):
     objects = good.select("hash", F.lit(b"x").alias("content"))
     assert audio.store(objects, objects.limit(0)).count() == 2 and audio.store(objects, objects).count() == 0
     assert audio.named(objects.dropDuplicates(["hash"]), objects.where(F.col("hash") == rows["b.wav"].hash)).count() == 1
+
+
+def test_roots_that_overlap_list_a_file_once(spark, tmp_path):
+    for name in ("a/kick.wav", "a/b/snare.wav", "c/hat.wav"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    roots = [str(tmp_path / r) for r in ("a/b", "a", "c", "a/")]
+    assert sorted(r.relative_path for r in files.discover(spark, roots, files.SOUNDS).collect()) == ["hat.wav", "kick.wav", "snare.wav"]
+    assert sorted(r.relative_path for r in files.discover(spark, roots[1:], files.SOUNDS).collect()) == ["b/snare.wav", "hat.wav", "kick.wav"]
+
+
+def test_link_headers(spark, tmp_path):
+    def write(text, name="l.csv"):
+        (tmp_path / name).write_text(text)
+        return str(tmp_path / name)
+
+    good, bad = files.read_links(spark, write("note,link,location\nx,https://x.y/a,a.xm\ny,,b.xm\nz,https://x.y/c\n"))
+    assert [tuple(r) for r in good.collect()] == [("a.xm", "https://x.y/a")]
+    assert sorted((r.location, r.reason) for r in bad.collect()) == [("", "not 3 columns"), ("b.xm", "no web address")]
+    with pytest.raises(files.Refused, match="no column location and no column link"):
+        files.read_links(spark, write("place,page\na.xm,https://x.y/a\n"))
+    with pytest.raises(files.Refused, match="no column link"):
+        files.read_links(spark, write("location\na.xm\n"))
+    with pytest.raises(files.Refused, match="no header"):
+        files.read_links(spark, write(""))
+    (tmp_path / "two").mkdir()
+    write("location,link\na.xm,https://x.y/a\n", "two/1.csv")
+    write("link,location\nhttps://x.y/b,b.xm\n", "two/2.csv")
+    with pytest.raises(files.Refused, match="different headers"):
+        files.read_links(spark, str(tmp_path / "two"))
+
+
+@pytest.mark.parametrize("line", ['{"hash": "a", "rating": 1, "rating": 2}', '{"hash": "a", "extra": 1}', "[1]", "no json", '{"hash": "a", "rating": {}}'])
+def test_annotation_lines_that_are_refused(spark, tmp_path, line):
+    (tmp_path / "a.jsonl").write_text('{"hash": "b"}\n\n' + line + "\n")
+    with pytest.raises(Exception, match="a line|Malformed|MALFORMED"):
+        files.read_annotations(spark, str(tmp_path / "a.jsonl"), "hash string, rating int").collect()
+    (tmp_path / "b.jsonl").write_text('{"rating": 2, "hash": "b"}\n\n')
+    assert [tuple(r) for r in files.read_annotations(spark, str(tmp_path / "b.jsonl"), "hash string, rating int").collect()] == [("b", 2)]
+
+
+def test_a_failed_replacement_leaves_the_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.append(spark.range(5), path)
+    with pytest.raises(Exception):
+        tables.replace_table(spark.read.parquet(path).select(F.raise_error(F.lit("broken")).cast("long").alias("id")), path)
+    assert spark.read.parquet(path).count() == 5 and sorted(os.listdir(tmp_path)) == ["t"]
+    os.rename(path, path + ".old")  # where a driver may be lost
+    assert tables.recover(spark, path) and spark.read.parquet(path).count() == 5 and not tables.recover(spark, path)
+    tables.replace_table(spark.read.parquet(path).where("id > 2"), path)
+    assert spark.read.parquet(path).count() == 2 and sorted(os.listdir(tmp_path)) == ["t"]
+
+
+def test_run_log(spark, tmp_path):
+    from tonelake.plans import runlog
+
+    stages = [("even", lambda df: df.where("id % 2 = 0")), ("keys", lambda df: df.select((F.col("id") % 3).alias("k")).distinct())]
+    out = runlog.run(spark.range(10), stages, str(tmp_path / "log"), "one", {"total": F.sum("id")})
+    assert sorted(r.k for r in out.collect()) == [0, 1, 2]
+    with pytest.raises(Exception):
+        runlog.run(spark.range(3), [("all", lambda df: df), ("broken", lambda df: df.select(F.raise_error(F.lit("stop")).cast("long").alias("id")))], str(tmp_path / "log"), "two")
+    rows = {(r.run, r.number): (r.stage, r["rows"], r.marks, bool(r.problem)) for r in runlog.lines(spark, str(tmp_path / "log")).collect()}
+    assert rows == {("one", 0): ("even", 5, {"total": 20.0}, False), ("one", 1): ("keys", 3, {}, False), ("two", 0): ("all", 3, {}, False), ("two", 1): ("broken", None, None, True)}

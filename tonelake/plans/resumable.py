@@ -23,7 +23,7 @@ def _folder(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _put(spark: SparkSession, path: str, text: str) -> None:
+def put_file(spark: SparkSession, path: str, text: str) -> None:
     """A small file that is there whole or not at all: written aside and renamed."""
     aside, fs = _folder(spark, f"{path}.partial")
     out = fs.create(aside, True)
@@ -55,5 +55,5 @@ def build(spark: SparkSession, path: str, identity: str, parts: int, part: Calla
             at = f"{path}/rows/{n:06d}"
             part(n).write.mode("overwrite").parquet(at)
             rows = spark.read.parquet(at).count()
-            _put(spark, f"{path}/manifest/{n:06d}.json", json.dumps({"identity": identity, "part": n, "rows": rows, "run": run}))
+            put_file(spark, f"{path}/manifest/{n:06d}.json", json.dumps({"identity": identity, "part": n, "rows": rows, "run": run}))
     return spark.read.parquet(*[f"{path}/rows/{n:06d}" for n in range(parts)])

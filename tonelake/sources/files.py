@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,17 +15,22 @@ MODULES = ("xm", "it", "mod", "s3m")
 SOUNDS = ("wav", "aif", "aiff", "flac")
 
 
-def discover(spark: SparkSession, root: str, suffixes: tuple[str, ...], exclude: tuple[str, ...] = (), content: bool = False) -> DataFrame:
-    """``(path, relative_path, length, modificationTime[, content])`` of the files under ``root``, recursively.
+def discover(spark: SparkSession, root: str | list[str], suffixes: tuple[str, ...], exclude: tuple[str, ...] = (), content: bool = False) -> DataFrame:
+    """``(path, relative_path, length, modificationTime[, content])`` of the files under the roots, recursively.
 
-    Suffixes compare case-folded; names that start with a dot and files that match an exclusion, or lie in a folder
-    that does, are left out. Listing reads no contents.
+    A file that several roots reach (one lies in another, or is named twice) is listed once, relative to the first of
+    them. Suffixes compare case-folded; names that start with a dot and files that match an exclusion, or lie in a folder
+    that does, are left out, and so are empty files. Listing reads no contents.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
-    relative = F.col("path")
-    rows = files.withColumn("relative_path", F.substring(relative, len(base) + 2, 1 << 30))
+    bases = []
+    for r in [root] if isinstance(root, str) else root:
+        base = spark._jvm.org.apache.hadoop.fs.Path(r)
+        base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
+        bases += [base] * (base not in bases)
+    tops = [b for b in bases if not any(b.startswith(o + "/") for o in bases)]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(tops)
+    own = reduce(lambda rest, b: F.when(F.startswith("path", F.lit(b + "/")), F.substring("path", len(b) + 2, 1 << 30)).otherwise(rest), reversed(bases), F.lit(None))
+    rows = files.withColumn("relative_path", own)
     rows = rows.where(F.lower("relative_path").rlike(rf"\.({'|'.join(suffixes)})$") & ~F.col("relative_path").rlike(r"(^|/)\.[^/]*$"))
     for pattern in exclude:
         steps = F.split("relative_path", "/")
@@ -61,22 +67,56 @@ def gone(catalog: DataFrame, present: DataFrame, key: str, most: float = 0.5) ->
     return missing
 
 
+LINK_COLUMNS = ("location", "link")
+
+
+class Refused(ValueError):
+    """A file that is not read at all."""
+
+
+def _header(spark: SparkSession, path: str) -> list[str]:
+    """The column names in the first line of the CSV files, which have to agree; a byte order mark does not count."""
+    at = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("at"), "value")
+    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("line")).select(F.regexp_replace("line", "^\ufeff", "").alias("line")).distinct()
+    found = [r.line for r in first.limit(2).collect()]
+    if len(found) != 1:
+        raise Refused(f"{path} has no header" if not found else f"the files of {path} have different headers")
+    return next(csv.reader(found))
+
+
 def read_links(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``(links, problems)`` from a CSV with the columns location and link: good rows, and every bad one with a reason."""
-    schema = T.StructType([T.StructField("location", T.StringType()), T.StructField("link", T.StringType()), T.StructField("_bad", T.StringType())])
-    rows = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path)
+    """``(links, problems)`` from a CSV with the columns location and link: good rows, and every bad one with a reason.
+
+    The columns may stand in any order and among others; a file whose header lacks one is refused as a whole.
+    """
+    header = _header(spark, path)
+    missing = [c for c in LINK_COLUMNS if c not in header]
+    if missing:
+        raise Refused(f"{path} has no column {' and no column '.join(missing)}")
+    names = [c if c in LINK_COLUMNS and header.index(c) == i else f"_{i}" for i, c in enumerate(header)]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, "_bad"]])
+    # pruned columns would hide a row of the wrong length
+    reader = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
+    rows = reader.option("columnPruning", False).csv(path)
     rows = rows.select(F.coalesce(labels.strip(F.col("location")), F.lit("")).alias("location"), labels.strip(F.col("link")).alias("link"), "_bad")
-    rows = rows.withColumn("twice", F.lit(False))
     twice = rows.groupBy("location").agg(F.count("*").alias("n")).where("n > 1").select("location", F.lit(True).alias("_twice"))
-    rows = rows.drop("twice").join(twice, "location", "left")
-    reason = F.when(F.col("_bad").isNotNull(), "not two columns").when(F.col("location") == "", "no location").when(~labels.page_url(F.col("link")), "no web address").when(F.col("_twice"), "location twice")
+    rows = rows.join(twice, "location", "left")
+    reason = F.when(F.col("_bad").isNotNull(), f"not {len(names)} columns" if len(names) != 2 else "not two columns").when(F.col("location") == "", "no location").when(~F.coalesce(labels.page_url(F.col("link")), F.lit(False)), "no web address").when(F.col("_twice"), "location twice")
     rows = rows.withColumn("reason", reason)
     return rows.where("reason is null").select("location", "link"), rows.where("reason is not null").select("location", "link", "reason")
 
 
 def read_annotations(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Annotations from JSON lines; a line that does not fit the schema fails the read."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").option("lineSep", "\n").json(path)
+    """Annotations from JSON lines. A line that does not fit the schema, names a key twice or one that the schema does not
+    know fails the read with the line's beginning; blank lines are none."""
+    kind = T.StructType.fromDDL(schema)
+    lines = spark.read.option("lineSep", "\n").text(path).where(F.trim("value") != "")
+    keys = F.json_object_keys("value")
+    names = F.array(*[F.lit(f.name) for f in kind.fields])
+    bad = F.when(keys.isNull(), "is no JSON object").when(F.size(keys) > F.size(F.array_distinct(keys)), "names a key twice").when(F.size(F.array_except(keys, names)) > 0, "names an unknown key")
+    checked = F.when(bad.isNotNull(), F.raise_error(F.concat(F.lit("a line "), bad, F.lit(": "), F.substring("value", 1, 100)))).otherwise(F.col("value"))
+    return lines.select(F.from_json(checked.cast("string"), kind, {"mode": "FAILFAST"}).alias("row")).select("row.*")
 
 
 def write_annotations(df: DataFrame, path: str, order: list[str]) -> None:

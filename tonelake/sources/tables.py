@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.sources.shared import materialize
-
 
 def insert_absent(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows to append: the new ones whose key is not there yet, each key once (the first by all columns)."""
@@ -42,8 +42,40 @@ def delete(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Overwrite a table that the plan may read itself: the new rows are stored before the old ones go."""
-    materialize(df, "replace").write.mode("overwrite").parquet(path)
+    """Put the rows of ``df`` in the place of a table that the plan may read itself.
+
+    The new table is written beside the old one and then takes its name, so a plan that fails leaves the old table as it was.
+    Between the two renames the old table is called ``path.old``; :func:`recover` puts it back if the driver is lost there.
+    """
+    spark = df.sparkSession
+    recover(spark, path)
+    staged = f"{path}.staged-{uuid.uuid4().hex}"
+    fs, (at, old, new) = _paths(spark, path, f"{path}.old", staged)
+    try:
+        df.write.parquet(staged)
+    except Exception:
+        fs.delete(new, True)
+        raise
+    if fs.exists(at) and not fs.rename(at, old) or not fs.rename(new, at):
+        recover(spark, path)
+        raise OSError(f"{path} could not be replaced")
+    fs.delete(old, True)
+    spark.catalog.refreshByPath(path)
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """Put back what a replacement that was cut off had set aside; say whether there was anything."""
+    fs, (at, old) = _paths(spark, path, f"{path}.old")
+    if not fs.exists(old):
+        return False
+    if fs.exists(at):  # the new table is in place, only the old one was not cleared
+        return fs.delete(old, True)
+    return fs.rename(old, at)
+
+
+def _paths(spark: SparkSession, *names: str) -> tuple:
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(n) for n in names]
+    return paths[0].getFileSystem(spark._jsc.hadoopConfiguration()), paths
 
 
 def append(df: DataFrame, path: str) -> None:

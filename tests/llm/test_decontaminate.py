@@ -56,10 +56,14 @@ def brute(docs, items, coverage=0.6):
                 for variant in [alone, first] if b == 0 and regex.match(r"\s*\p{Lu}", item) else [alone]:
                     window = variant[b : b + size]
                     slot = [bool(regex.search("[#%@]", t)) for t, _ in window]
-                    exact = size - sum(slot) < max(3, -(-size // 2))
+                    least = max(3, -(-size // 2))
+                    anchored = variant is not alone and size - sum(slot) == least - 1  # the first word counts, if it is the same
+                    exact = size - sum(slot) < least and not anchored
                     for p in range(len(have) - size + 1):
                         if [t for t, _ in have[p : p + size]] != [t for t, _ in window]:
                             continue
+                        if anchored and have[p][1] != window[0][1]:
+                            continue
                         skip = variant is not alone and not exact
                         pairs = {(window[k][1], have[p + k][1]) for k in range(size) if slot[k] and not (skip and k == 0)}
                         if not exact or all(x == y for x, y in pairs):
@@ -81,9 +85,10 @@ def brute(docs, items, coverage=0.6):
 def test_short_items_and_items_of_slots(spark):
     items = [(1, "Anna Bob Carl Dora Emil Fred went home"), (2, "what is two"), (3, "What is 17 times 23?"), (4, "Solve 3x + 5 = 20 for x"), (5, "Who wrote Hamlet?"), (6, "1 2 3 4 5 6 7 8 9 10"), (7, "Yes"), (8, "一個男人有三隻貓和兩隻狗"), (9, "no way"), (10, "")]
     docs = [(1, "it says so. Anna Bob Carl Dora Emil Fred went home."), (2, "I ask what is two of them"), (3, "tell me What is 17 times 23? now"), (4, "so what is 18 times 99 then"), (5, "first solve 3x + 5 = 20 for x and then"), (6, "Somebody asked: Who wrote Hamlet? Nobody knew."), (7, "count 1 2 3 4 5 6 7 8 9 10 and on"), (8, "count 2 3 4 5 6 7 8 9 10 11 and on"), (9, "yes"), (10, "yes and no"), (11, "他說一個男人有三隻貓和兩隻狗。"), (12, "No way!"), (13, "Carl Dora Anna Emil went home"), (14, "see Anna Bob Carl Dora Emil Fred went home"), (15, "see Anna Bob Carl Dora Emil Hans went home")]
+    docs += [(16, "so What is 41 times 12? now"), (17, "so Was is 41 times 12? now"), (18, "so What is 41 times 12 and 13"), (19, "he asked Who wrote Lolita? and left")]
     got = found(spark, docs, items)
     assert got == brute(docs, items)
-    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 3), (5, 4), (6, 5), (7, 6), (8, 6), (9, 7), (11, 8), (12, 9), (14, 1)}
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 3), (5, 4), (6, 5), (7, 6), (8, 6), (9, 7), (11, 8), (12, 9), (14, 1), (16, 3), (18, 3)}
 
 
 def test_one_substitution_for_the_whole_item(spark):

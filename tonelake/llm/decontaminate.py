@@ -81,10 +81,10 @@ _SLOT = f"[{NUMBER}{UNIT}{NAME}]"
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``(item_id, irid, length, n_windows, bpos, w, canon, bench, exact)`` of every window of the items.
+    """``(item_id, irid, length, n_windows, bpos, w, canon, bench, exact, anchored)`` of every window of the items.
 
     ``canon`` and ``bench``: the tokens as templates and as they stand; ``exact``: too few literals, so that the values
-    have to be the same.
+    have to be the same; ``anchored``: enough literals with the first word, which therefore has to be the same.
     """
     rows = keyed(items, id_col, text_col).distinct().withColumn("text", spaced(F.col("text"))).withColumn("raw", _raw_tokens(F.col("text")))
     alone = rows.withColumn("t", _tokens(F.col("text"))).withColumn("inside", F.lit(False))
@@ -101,7 +101,8 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
         F.slice("t", F.col("bpos") + 1, F.col("length")).alias("canon"), F.slice("raw", F.col("bpos") + 1, F.col("length")).alias("bench"), "inside",
     )
     literals = F.size(F.filter("canon", lambda x: ~x.rlike(_SLOT)))
-    at = at.withColumn("exact", literals < F.greatest(F.lit(3), F.ceil(F.col("length") / 2).cast("int")))
+    least = F.greatest(F.lit(3), F.ceil(F.col("length") / 2).cast("int"))
+    at = at.withColumn("anchored", F.col("inside") & (literals == least - 1)).withColumn("exact", (literals < least) & ~F.col("anchored"))
     # That word is no slot: it is hashed as a name, but has no value to follow, unless all values have to be the same.
     at = at.withColumn("canon", F.when(F.col("inside") & ~F.col("exact"), F.concat(F.array(F.lit("")), F.slice("canon", 2, WINDOW))).otherwise(F.col("canon"))).drop("inside")
     counts = at.groupBy("item_id", "irid").agg(F.countDistinct("bpos").alias("n_windows"))
@@ -125,7 +126,8 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = 0.6, id_co
     document, 0 for a verbatim copy. Values compare without case. An alignment (all windows at one distance) in which
     a value stands for two values is dropped; of alignments that contradict each other those with more windows, then
     the earlier ones, are taken. Windows of less than half, or of fewer than three, literal tokens count only with the
-    item's own values. Items of one or two tokens are found where the document holds nothing else; items without any
+    item's own values. An item's first word with a capital may be a name or not: inside a sentence it is one of the literals
+    where these are one too few without it, and else free. Items of one or two tokens are found where the document holds nothing else; items without any
     token are not searched. Null texts count as empty, null ids are kept, repeated rows are found once, and documents
     without any item give no row. Very long texts are one row of tokens. An empty table on either side gives an empty
     result. Other columns are not read.
@@ -157,8 +159,8 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = 0.6, id_co
     values = F.transform("hits", lambda h: F.struct(h["w"].alias("w"), h["length"].alias("length"), h["pos"].alias("pos"), F.slice("raw", h["pos"] + 1, h["length"]).alias("raw")))
     both = both.select("doc_id", "rid", F.explode(values).alias("hit")).select("doc_id", "rid", "hit.*").join(few(windows), ["w", "length"])
     pairs = F.zip_with(F.arrays_zip(F.col("canon"), F.col("bench")), F.col("raw"), lambda b, d: F.when(b["canon"].rlike(_SLOT), F.struct(_plain(b["bench"]).alias("bench"), _plain(d).alias("doc"))))
-    hits = both.select("doc_id", "rid", "item_id", "irid", "n_windows", "bpos", "exact", (F.col("pos") - F.col("bpos")).alias("shift"), F.filter(pairs, lambda p: p.isNotNull()).alias("pairs"))
-    hits = hits.where(~F.col("exact") | F.forall("pairs", lambda p: p["bench"] == p["doc"]))
+    hits = both.select("doc_id", "rid", "item_id", "irid", "n_windows", "bpos", "exact", (~F.col("anchored") | (_plain(F.col("bench")[0]) == _plain(F.col("raw")[0]))).alias("anchors"), (F.col("pos") - F.col("bpos")).alias("shift"), F.filter(pairs, lambda p: p.isNotNull()).alias("pairs"))
+    hits = hits.where(F.col("anchors")).where(~F.col("exact") | F.forall("pairs", lambda p: p["bench"] == p["doc"]))
     who = ["doc_id", "rid", "item_id", "irid", "n_windows"]
     lines = hits.groupBy(*who, "shift").agg(F.collect_set("bpos").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")).where(_consistent(F.col("pairs")))
     lines = lines.groupBy(*who).agg(F.sort_array(F.collect_list(F.struct((-F.size("at")).alias("order"), "shift", "at", "pairs"))).alias("lines"))

@@ -6,10 +6,10 @@ queue (Dial): one bucket for each distance, emptied in rising order. The audit i
 from the start, the smallest letter first.
 
 Rows are dealt by ranges of (conversation, turn, role, text), so a conversation of any length is spread over tasks, and
-each row's place in that order is stored with it. Segments of a conversation are cut at fixed places, ROWS rows at most.
+each row's place in that order is stored with it. Segments of a conversation are cut at fixed places, 2**BITS rows at most.
 Nearly all conversations are one segment. For the others each segment is a 4 by 4 matrix of costs between states; the
 matrices are multiplied in the (min, +) semiring from the end, which gives the distances behind every segment, and the
-segments are walked with those. Only matrices and places meet by conversation, one for each ROWS rows; texts do not.
+segments are walked with those. Only matrices and places meet by conversation, one for each segment; texts do not.
 """
 
 from __future__ import annotations

@@ -1,9 +1,9 @@
 import pytest
 
 from tests.oracle import check, connection
-from tonelake import queries, queries_files, queries_plans, queries_sources, queries_vectors
+from tonelake import queries, queries_files, queries_plans, queries_sources, queries_spectra, queries_vectors
 
-assert queries_files and queries_plans and queries_sources and queries_vectors
+assert queries_files and queries_plans and queries_sources and queries_spectra and queries_vectors
 
 
 @pytest.fixture(scope="module")
@@ -39,7 +39,7 @@ def test_plans(spark, sf_dir):
         assert "CartesianProduct" not in q(name) and "NestedLoop" not in q(name)
     for name in ("spearman", "auc"):  # one task takes the partial sums; no window stands before it
         assert "SinglePartition" not in q(name).split("Window", 1)[1]
-    for name in ("tag_first_use_rank", "vocabulary_ranks", "vocabulary_tree", "time_map", "token_budgets", "gain_scores"):
+    for name in ("tag_first_use_rank", "vocabulary_ranks", "vocabulary_tree", "time_map", "token_budgets", "gain_scores", "spectral_grains", "grains_placed"):
         assert "SinglePartition" not in q(name) and "NestedLoop" not in q(name)
     for name in ("rate_folding", "dominant_value", "state_as_of", "label_closure_counts"):
         assert "SinglePartition" not in q(name)

@@ -9,7 +9,7 @@ from tonelake.operators import evaluation as ev
 from tonelake.operators import layout, notes
 from tonelake.plans import runlog
 from tonelake.queries import query, t
-from tonelake.sources import audio, files, headers
+from tonelake.sources import audio, files, headers, records
 from tonelake.sources.shared import materialize, new_path
 
 # ---- files and objects ----------------------------------------------------------------------------------------------
@@ -87,6 +87,16 @@ def module_samples(spark, d):
     return rows.where("s.length > 0").select("s_suppkey", "kind", "title", "n_orders", "s.slot", "s.name", "s.length", "s.volume")
 
 
+@query("SELECT vec_id, embedding[1] AS first, embedding[64] AS last, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM embeddings")
+def fixed_records(spark, d):
+    """Vectors written as records of one length, as grids of eight by eight, and read again by byte ranges."""
+    path = new_path(spark, "records")
+    records.write_records(t(spark, d, "embeddings"), path, "vec_id", "embedding", (8, 8))
+    rows = records.read_records(spark, path, (8, 8))
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    return rows.select(F.col("key").alias("vec_id"), F.col("values")[0].alias("first"), F.col("values")[63].alias("last"), F.round(total, 6).alias("total"))
+
+
 # ---- layouts from distances -----------------------------------------------------------------------------------------
 
 

@@ -51,3 +51,13 @@ def test_edge_rows_and_columns(spark, library):
     assert wfst.round_trip(docs.limit(0), MODEL).count() == 0
     back = wfst.decode(wfst.encode(docs, MODEL), MODEL, out="again").where("text not like '%▁%' or text is null").collect()
     assert all(r.again == (r.text or "") for r in back)
+
+
+def test_forgotten_words_are_encoded_the_same_again():
+    transducer = wfst.Transducer(wfst._model(MODEL))
+    texts = ["a transducer forgets", "what it  has seen ", "日本 and 日本", ""]
+    first = [transducer.encode(t).tolist() for t in texts]
+    assert transducer.young
+    transducer.forget()
+    assert not transducer.young and not transducer.old and not transducer.follows
+    assert [transducer.encode(t).tolist() for t in texts] == first

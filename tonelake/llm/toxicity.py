@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonelake.llm.common import released
 from tonelake.sources.shared import discard, materialize
 
 BUCKET_BITS = 18
@@ -137,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, sample_
         discard(sample)
         return Model(40.0 if toxic else -40.0, weights)
     clean = total - toxic
-    counts = sample.mapInArrow(_counts, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
+    counts = sample.mapInArrow(released(_counts), "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     p, q = (F.col("t") + alpha) / (toxic + 2 * alpha), (F.col("c") + alpha) / (clean + 2 * alpha)
     spread = (F.col("t") + F.col("c") + 2 * alpha) / (total + 4 * alpha)
     telling = (p - q) * (p - q) / (spread * (1 - spread))
@@ -164,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, sample_
         return pd.DataFrame({"w": [w.tolist()]})
 
     # One group, of sample_rows rows at most.
-    w = np.array(sample.mapInArrow(vectors, "buckets array<int>, toxic int").groupBy().applyInPandas(solve, "w array<double>").first().w)
+    w = np.array(sample.mapInArrow(released(vectors), "buckets array<int>, toxic int").groupBy().applyInPandas(solve, "w array<double>").first().w)
     discard(sample)
     weights[chosen["bucket"]] = ratio * w[:-1]
     return Model(float(w[-1]), weights)
@@ -183,7 +184,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
             z = np.clip((np.concatenate(sums) if sums else np.zeros(0)) + model.bias, -40, 40)
             yield pd.Series(1 / (1 + np.exp(-z)))
 
-    return docs.withColumn(out, F.pandas_udf(run, "double")(F.col(text_col)))
+    return docs.withColumn(out, F.pandas_udf(released(run), "double")(F.col(text_col)))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonelake.llm.common import released
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 CACHED_WORDS = 250_000
@@ -220,6 +222,11 @@ class Transducer:
             self.young[word] = found
         return found
 
+    def forget(self) -> None:
+        """Drop the words seen so far: a worker keeps its transducer for the next task, but not the words of this one."""
+        self.young, self.old = {}, {}
+        self.follows.clear()
+
     def encode(self, text: str) -> np.ndarray:
         text = self.normalise(text)
         if not self.by_word:
@@ -270,6 +277,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out: str =
             ids = [transducer.encode(t.as_py() or "") for t in texts]
             offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+        transducer.forget()
 
     return docs.withColumn(out, F.arrow_udf(run, "array<int>")(F.col(text_col)))
 
@@ -308,5 +316,6 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(np.concatenate(ids)))
                 same = [transducer.decode(i.tolist()) == t for i, t in zip(ids, texts)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), lists, pa.array(same)], names=["doc_id", "n_tokens", "ids", "lossless"])
+        transducer.forget()
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens int, ids array<int>, lossless boolean")
+    return rows.mapInArrow(released(run), f"doc_id {kind}, n_tokens int, ids array<int>, lossless boolean")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonelake.functions import hashing, labels, pitch, signal, vectors
+from tonelake.operators import variants
 
 
 def one(spark, column):
@@ -111,11 +112,11 @@ def tone(n, depth=16, gain=1.0, rate=44100):
 def test_planted_pairs_are_found(spark):
     rng = np.random.default_rng(3)
     waves = [(1, tone(2500), 16), (2, tone(2500, 8), 8), (3, rng.uniform(-1, 1, 2500), 8), (7, tone(1600), 16), (8, tone(1600, 8, 0.25), 8)]
-    df = spark.createDataFrame([(i, w.tolist(), d) for i, w, d in waves], "id int, w array<double>, depth int")
-    a, b = df.select(*[F.col(c).alias(f"{c}_a") for c in df.columns]), df.select(*[F.col(c).alias(f"{c}_b") for c in df.columns])
-    pairs = a.join(b, (F.col("id_a") < F.col("id_b")) & (F.size("w_a") == F.size("w_b"))).withColumn("g", signal.pair_gain(F.col("w_a"), F.col("w_b"), F.col("depth_a"), F.col("depth_b")))
-    kind = signal.relation(F.get("g", F.lit(0)), F.get("g", F.lit(2)), F.col("depth_a") != F.col("depth_b"))
-    got = {(r.id_a, r.id_b): r.kind for r in pairs.select("id_a", "id_b", kind.alias("kind")).where("kind is not null").collect()}
+    rows = spark.createDataFrame([(i, n, float(x)) for i, w, _ in waves for n, x in enumerate(w)], "id int, i int, x double")
+    sizes = spark.createDataFrame([(i, len(w), d) for i, w, d in waves], "id int, n int, depth int")
+    pairs = spark.createDataFrame([(i, j) for i, v, _ in waves for j, w, _ in waves if i < j and len(v) == len(w)], "a int, b int")
+    kind = signal.relation(F.col("gain"), F.col("confidence"), F.col("a") != F.col("b"))
+    got = {(r.a, r.b): r.kind for r in variants.gain_scores(pairs, rows, sizes).select("a", "b", kind.alias("kind")).where("kind is not null").collect()}
     assert got == {(1, 2): "bit_depth_variant", (7, 8): "amplification_variant"}
 
 

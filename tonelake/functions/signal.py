@@ -108,20 +108,6 @@ def rate_fingerprint(x: np.ndarray) -> np.ndarray:
     return _unit(_band_rms(x, np.append(0, 2 ** np.arange(BANDS))).ravel())
 
 
-def gain_score(x: np.ndarray, y: np.ndarray, depth_x: int, depth_y: int) -> tuple[float, float, float]:
-    """Least-squares gain from x to y, residual RMS and confidence: the residual against what quantising explains."""
-    n = min(len(x), len(y))
-    x, y = np.asarray(x[:n], float), np.asarray(y[:n], float)
-    power = x @ x
-    if not n or not power:
-        return 0.0, 0.0, 0.0
-    gain = float(x @ y / power)
-    residual = float(np.sqrt(np.mean((y - gain * x) ** 2)))
-    noise = np.hypot(2.0 ** (1 - depth_y) / np.sqrt(12), abs(gain) * 2.0 ** (1 - depth_x) / np.sqrt(12))
-    level = float(np.sqrt(np.mean(y**2)))
-    ceiling = max(4 * noise, 1e-9)
-    return gain, residual, float(np.clip(1 - residual / ceiling, 0, 1)) if level > ceiling else 0.0
-
 
 def lagged_score(x: np.ndarray, y: np.ndarray, lags: int = 64) -> tuple[float, int]:
     """Best correlation of y with x brought to its length, over shifts up to ``lags``; the shift, too."""
@@ -242,9 +228,6 @@ def _mapped(fn: Callable, kind: str, wave: Column) -> Column:
     return F.pandas_udf(run, kind)(wave)
 
 
-def trimmed(wave: Column) -> Column:
-    return _mapped(trimmed_length, "int", wave)
-
 
 def thumbnail(wave: Column, n: int = BUCKETS) -> Column:
     """Minima, then maxima."""
@@ -272,35 +255,9 @@ def pitch_of(wave: Column, rate: float) -> Column:
     return _mapped(lambda x: list(pitch(x, rate)), "array<double>", wave)
 
 
-def centred(wave: Column) -> Column:
-    """One channel without its constant part."""
-    mean = F.aggregate(wave, F.lit(0.0), lambda a, x: a + x) / F.size(wave)
-    return F.transform(wave, lambda x: x - mean)
-
-
-def in_bits(wave: Column, depth: int) -> Column:
-    """Requantised to ``depth`` bits, halves to even."""
-    levels = 2 ** (depth - 1)
-    return F.transform(wave, lambda x: F.greatest(F.lit(-float(levels)), F.least(F.lit(levels - 1.0), F.rint(x * levels))) / levels)
-
-
-def at_points(wave: Column, n: int) -> Column:
-    """``n`` points at even fractions of the duration."""
-    return _mapped(lambda x: resampled(x, n).tolist(), "array<double>", wave)
-
-
-def tuned(wave: Column, semitones: float) -> Column:
-    """Played faster by so many semitones."""
-    return _mapped(lambda x: retuned(x, semitones).tolist(), "array<double>", wave)
-
 
-def pair_gain(a: Column, b: Column, depth_a: Column, depth_b: Column) -> Column:
-    """Gain, residual and confidence of a pair of waveforms."""
 
-    def four(x: pd.Series, y: pd.Series, p: pd.Series, q: pd.Series) -> pd.Series:
-        return pd.Series([list(gain_score(np.asarray(i), np.asarray(j), k, m)) for i, j, k, m in zip(x, y, p, q)])
 
-    return F.pandas_udf(four, "array<double>")(a, b, depth_a, depth_b)
 
 
 def pair_lag(a: Column, b: Column) -> Column:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tonelake.functions import labels, signal
-from tonelake.operators import publish
+from tonelake.functions import labels
+from tonelake.operators import publish, waveforms
 from tonelake.operators import relational as rel
 from tonelake.plans import incremental
 from tonelake.queries import query, t
-from tonelake.queries_vectors import WAVES, waves
+from tonelake.queries_vectors import WAVES, wave_frames
 from tonelake.sources import files
 from tonelake.sources import tables as tab
 from tonelake.sources.shared import new_path
@@ -189,8 +189,7 @@ def coordinates_rounded(spark, d):
 
 @query(f"SELECT user_id, round(list_sum(list_transform(r, lambda x: abs(x / greatest(peak, 1e-9) - list_avg(r) / greatest(peak, 1e-9)))), 6) AS total FROM ({WAVES})")
 def wave_without_constant(spark, d):
-    rows = waves(spark, d).select("user_id", signal.centred(F.col("wave")).alias("x"))
-    return rows.select("user_id", F.round(F.aggregate("x", F.lit(0.0), lambda a, x: a + F.abs(x)), 6).alias("total"))
+    return waveforms.centred(wave_frames(spark, d), "user_id").groupBy("user_id").agg(F.round(F.sum(F.abs("x")), 6).alias("total"))
 
 
 def _points(n, m):
@@ -201,17 +200,16 @@ def _points(n, m):
 
 @query(f"SELECT user_id, point, round(value, 6) AS value FROM ({_points(WAVES, 16)})")
 def wave_at_points(spark, d):
-    rows = waves(spark, d).select("user_id", F.posexplode(signal.at_points(F.col("wave"), 16)).alias("point", "value"))
-    return rows.withColumn("value", F.round("value", 6))
+    rows = waveforms.at_points(wave_frames(spark, d), "user_id", 16)
+    return rows.select("user_id", F.col("i").cast("int").alias("point"), F.round("x", 6).alias("value"))
 
 
 @query(f"SELECT user_id, any_value(frames)::INT AS frames, round(sum(abs(value)), 5) AS total FROM ({_points(WAVES, 'greatest(1, round_even(n / 2, 0)::INT)')}) GROUP BY 1")
 def wave_an_octave_up(spark, d):
-    rows = waves(spark, d).select("user_id", signal.tuned(F.col("wave"), 12.0).alias("x"))
-    return rows.select("user_id", F.size("x").alias("frames"), F.round(F.aggregate("x", F.lit(0.0), lambda a, x: a + F.abs(x)), 5).alias("total"))
+    rows = waveforms.tuned(wave_frames(spark, d), "user_id", 12.0)
+    return rows.groupBy("user_id").agg(F.count("*").cast("int").alias("frames"), F.round(F.sum(F.abs("x")), 5).alias("total"))
 
 
 @query(f"SELECT user_id, round(list_sum(list_transform(r, lambda x: greatest(-128, least(127, round_even(x / greatest(peak, 1e-9) * 128, 0))) / 128)), 6) AS total FROM ({WAVES})")
 def wave_in_eight_bits(spark, d):
-    rows = waves(spark, d).select("user_id", signal.in_bits(F.col("wave"), 8).alias("x"))
-    return rows.select("user_id", F.round(F.aggregate("x", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    return waveforms.in_bits(wave_frames(spark, d), "user_id", 8).groupBy("user_id").agg(F.round(F.sum("x"), 6).alias("total"))

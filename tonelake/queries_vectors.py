@@ -320,7 +320,7 @@ def gain_pairs(spark, d):
     rows = materialize(w.select((F.col("user_id") * 2).alias("id"), F.lit(16).alias("depth"), "wave").unionByName(soft), "waves")
     prints = rows.select("id", signal.shape_print(F.col("wave")).alias("v"), F.size("wave").alias("length"))
     pairs = sim.self_join(prints, "id", "v", 0.98, ["length"], sim.gain_candidates)
-    side = lambda n: rows.select(F.col("id").alias(n), F.struct("wave", "depth").alias(f"{n}_"))
-    scored = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").withColumn("g", signal.pair_gain(F.col("a_.wave"), F.col("b_.wave"), F.col("a_.depth"), F.col("b_.depth")))
-    out = scored.select("a", "b", F.round(F.get("g", F.lit(0)), 4).alias("gain"), F.round(F.get("g", F.lit(2)), 4).alias("confidence"))
+    frames = rows.select("id", F.posexplode("wave").alias("i", "x"))
+    scored = variants.gain_scores(pairs, frames, rows.select("id", F.size("wave").alias("n"), "depth"))
+    out = scored.select("a", "b", F.round("gain", 4).alias("gain"), F.round("confidence", 4).alias("confidence"))
     return out.withColumn("relation", signal.relation(F.col("gain"), F.col("confidence"), F.col("a") % 2 != F.col("b") % 2)).where("relation is not null")

@@ -54,6 +54,18 @@ def test_centred_and_in_bits(rows, waves):
         assert coarse[k] == signal.quantised(w, 8).tolist()
 
 
+def test_fingerprints(spark, rows, waves):
+    got = {r.k: (r.shape, r.rate) for r in waveforms.fingerprints(rows, "k").collect()}
+    assert set(got) == set(waves)
+    for k, w in waves.items():
+        assert got[k][0] == pytest.approx(signal.shape_fingerprint(np.array(w)).tolist(), abs=1e-7)
+        assert got[k][1] == pytest.approx(signal.rate_fingerprint(np.array(w)).tolist(), abs=1e-7)
+    assert set(got["zero"][0]) == {0.0}
+    quiet = {r.k: r.shape for r in waveforms.fingerprints(rows.withColumn("x", F.col("x") / 50), "k").collect()}
+    assert quiet["long"] == pytest.approx(got["long"][0])
+    assert waveforms.fingerprints(rows.limit(0), "k").count() == 0
+
+
 def test_null_key_and_no_rows(spark, rows):
     nameless = spark.createDataFrame([(None, 0, 1.0), (None, 1, 3.0)], "k string, i long, x double")
     assert by_key(waveforms.at_points(nameless, "k", 3)) == {None: [1.0, 2.0, 3.0]}

@@ -1,4 +1,5 @@
-"""Waveforms as rows of frames ``(key, i, x)``: every step is an aggregate or a join by key, so no waveform is held whole.
+"""Waveforms as rows of frames ``(key, i, x)``: every step is an aggregate or a join by key, so no waveform is held whole. Fingerprints
+hold one of TIMES segments of a waveform at a time, since the spectrum needs its frames together.
 
 The rows are those of ``variants.frames``: frames of a key are numbered from 0. A key without frames has no rows here, and none
 come of it.
@@ -6,11 +7,16 @@ come of it.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonelake.plans.joins import join_back
 
+# The segments and bands of a fingerprint.
+TIMES, BANDS = 16, 8
+
 
 def centred(rows: DataFrame, key: str) -> DataFrame:
     """``(key, i, x)`` without the constant part of each waveform, the mean of its frames."""
@@ -47,3 +53,40 @@ def at_points(rows: DataFrame, key: str, points: Column | int) -> DataFrame:
 def tuned(rows: DataFrame, key: str, semitones: float) -> DataFrame:
     """``(key, i, x)``: each waveform played faster by so many semitones, with one frame at least; halves of a frame go to even."""
     return at_points(rows, key, F.greatest(F.lit(1), F.bround(F.col("_n") * 2.0 ** (-semitones / 12))))
+
+
+def _edges(bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """Borders of BANDS even bands, and of BANDS octaves counted in cycles per segment, cut off at ``bins``."""
+    return np.rint(np.arange(BANDS + 1) * bins / BANDS).astype(int), np.minimum(np.append(0, 2 ** np.arange(BANDS)), bins)
+
+
+def _bands(frames: pd.Series, size: pd.Series) -> pd.Series:
+    """For each segment, padded to ``size`` frames, the root power in even bands and then in octaves."""
+
+    def one(x: np.ndarray, n: int) -> list[float]:
+        power = np.abs(np.fft.rfft(x, n)) ** 2
+        return [float(np.sqrt(power[a:b].sum())) for edges in _edges(len(power)) for a, b in zip(edges, edges[1:])]
+
+    return pd.Series([one(np.asarray(x, float), n) for x, n in zip(frames, size)])
+
+
+def fingerprints(rows: DataFrame, key: str) -> DataFrame:
+    """``(key, shape, rate)``: two vectors of unit length, TIMES segments by BANDS bands each; silence has zeros.
+
+    ``shape`` has even bands and is the same at any level; ``rate`` has octaves in cycles per segment and stays alike when the
+    waveform is resampled. A segment is a sixteenth of the waveform, at least 16 frames, the last ones padded with zeros.
+    Spectra are taken of a segment, a row each; the rest is aggregates.
+    """
+    sizes = rows.groupBy(key).agg(F.greatest(F.lit(2 * BANDS), F.ceil(F.count("*") / TIMES)).cast("int").alias("_size"))
+    held = join_back(rows, sizes, [key]).withColumn("_at", F.expr("i div _size"))
+    parts = held.groupBy(key, "_at", "_size").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda f: f["x"].cast("double")).alias("_x"))
+    parts = parts.select(key, F.struct(F.col("_at").cast("int").alias("at"), F.pandas_udf(_bands, "array<double>")("_x", "_size").alias("v")).alias("_p"))
+    found = parts.groupBy(key).agg(F.map_from_entries(F.collect_list("_p")).alias("_p"))  # at most TIMES entries
+
+    def unit(first: int) -> Column:
+        value = lambda k: F.coalesce(F.get(F.element_at("_p", F.floor(k / BANDS).cast("int")), (F.lit(first) + k % BANDS).cast("int")), F.lit(0.0))
+        whole = F.transform(F.sequence(F.lit(0), F.lit(TIMES * BANDS - 1)), value)
+        length = F.sqrt(F.aggregate(whole, F.lit(0.0), lambda a, v: a + v * v))
+        return F.transform(whole, lambda v: F.when(length > 0, v / length).otherwise(F.lit(0.0)))
+
+    return found.select(key, unit(0).alias("shape"), unit(BANDS).alias("rate"))

@@ -8,7 +8,7 @@ from tonelake.operators import aggregates as agg
 from tonelake.operators import variants
 from tonelake.plans import ranks, resumable, steps
 from tonelake.queries import CLOSED, DAILY, _daily, _labelled, query, t
-from tonelake.queries_vectors import WAVES, wave_frames
+from tonelake.queries_vectors import COPIES, GAINS, wave_frames
 from tonelake.sources.shared import new_path
 
 # ---- ordered passes -------------------------------------------------------------------------------------------------
@@ -115,12 +115,9 @@ def resumed_build(spark, d):
 # ---- waveforms ------------------------------------------------------------------------------------------------------
 
 
-GAIN_WAVES = f"""WITH w AS (SELECT user_id, list_transform(r, lambda x: x / greatest(peak, 1e-9)) AS v FROM ({WAVES})),
-    s AS (SELECT user_id * 2 AS id, 16 AS depth, v FROM w UNION ALL SELECT user_id * 2 + 1, 8, list_transform(v, lambda x: round_even(x * 0.25 * 128, 0) / 128) FROM w),
+GAIN_WAVES = f"""WITH {COPIES},
     p AS (SELECT a.id AS a, b.id AS b, least(a.depth, b.depth) AS depth, a.v AS x, b.v AS y, least(len(a.v), len(b.v)) AS n FROM s a JOIN s b ON b.id IN (a.id + 1, a.id + 2) WHERE a.id % 2 = 0 AND abs(len(a.v) - len(b.v)) <= 32),
-    g AS (SELECT *, list_sum(list_transform(range(1, n + 1), lambda i: x[i] * y[i])) / nullif(list_sum(list_transform(range(1, n + 1), lambda i: x[i] * x[i])), 0) AS gain FROM p),
-    e AS (SELECT a, b, depth, gain, n, list_transform(range(1, n + 1), lambda i: y[i] - gain * x[i]) AS rest FROM g WHERE abs(gain) BETWEEN 0.1 AND 10),
-    q AS (SELECT *, sqrt(list_sum(list_transform(rest, lambda z: z * z)) / n) AS rms FROM e)
+    {GAINS}
     SELECT a, b, round(gain, 6) AS gain, round(rms, 6) AS rms_error, round(list_max(list_transform(rest, lambda z: abs(z))), 6) AS max_abs_error, round(greatest(0.0, 1 - rms / (0.02 * pow(2.0, 8 - depth))), 6) AS confidence FROM q"""
 
 

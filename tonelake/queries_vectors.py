@@ -9,7 +9,7 @@ from tonelake.functions import signal, vectors
 from tonelake.operators import evaluation as ev
 from tonelake.operators import relational as rel
 from tonelake.operators import similarity as sim
-from tonelake.operators import variants
+from tonelake.operators import variants, waveforms
 from tonelake.plans.joins import join_back
 from tonelake.queries import query, t
 from tonelake.sources.shared import materialize
@@ -300,10 +300,20 @@ def thumbnail_buckets(spark, d):
     return out.select("user_id", "bucket", F.round("lowest", 9).alias("lowest"), F.round("highest", 9).alias("highest"))
 
 
-@query(None)
+#: Segments of at least 16 frames, their spectra written out as sums, and the root power in even bands and in octaves.
+SPECTRA = """w AS (SELECT user_id, r, greatest(peak, 1e-9) AS peak, n, greatest(16, ceil(n / 16))::INT AS size FROM ({})),
+    f AS (SELECT user_id, i // size AS seg, i % size AS j, size, r[i + 1] / peak AS x FROM w, unnest(range(n)) AS u(i)),
+    k AS (SELECT user_id, seg, size // 2 + 1 AS bins, k, pow(sum(x * cos(2 * pi() * ((j * k) % size) / size)), 2) + pow(sum(x * sin(2 * pi() * ((j * k) % size) / size)), 2) AS power FROM f, unnest(range(size // 2 + 1)) AS u(k) GROUP BY ALL),
+    b AS (SELECT user_id, seg, band, sqrt(sum(power) FILTER (k >= round_even(band * bins / 8, 0) AND k < round_even((band + 1) * bins / 8, 0))) AS s, sqrt(sum(power) FILTER (k < pow(2, band) AND (band = 0 OR k >= pow(2, band - 1)))) AS o FROM k, unnest(range(8)) AS u(band) GROUP BY ALL),
+    v AS (SELECT w.user_id, (seg * 8 + band)::INT AS place, coalesce(b.s, 0.0) AS s, coalesce(b.o, 0.0) AS o FROM (SELECT user_id, seg, band FROM w, unnest(range(16)) AS u(seg), unnest(range(8)) AS v(band)) w LEFT JOIN b USING (user_id, seg, band)),
+    prints AS (SELECT user_id, place, coalesce(s / nullif(sqrt(sum(s * s) OVER (PARTITION BY user_id)), 0), 0.0) AS shape, coalesce(o / nullif(sqrt(sum(o * o) OVER (PARTITION BY user_id)), 0), 0.0) AS rate FROM v)"""
+
+
+@query(f"WITH {SPECTRA.format(WAVES)} SELECT user_id, place, round(shape, 6) AS shape, round(rate, 6) AS rate FROM prints")
 def shape_fingerprint(spark, d):
-    rows = waves(spark, d).select("user_id", signal.shape_print(F.col("wave")).alias("s"), signal.rate_print(F.col("wave")).alias("r"))
-    return rows.select("user_id", F.transform("s", lambda x: F.round(x, 6)).alias("shape"), F.transform("r", lambda x: F.round(x, 6)).alias("rate"))
+    """The numbers of both fingerprints, a row for each of their 128 places."""
+    rows = waveforms.fingerprints(wave_frames(spark, d), "user_id").select("user_id", F.posexplode(F.arrays_zip("shape", "rate")).alias("place", "v"))
+    return rows.select("user_id", "place", F.round("v.shape", 6).alias("shape"), F.round("v.rate", 6).alias("rate"))
 
 
 @query(None)
@@ -312,15 +322,30 @@ def sound_descriptors(spark, d):
     return rows.select("user_id", "kind", F.transform("x", lambda v: F.round(v, 4)).alias("descriptor"), F.round(F.get("p", F.lit(0)), 3).alias("hertz"))
 
 
-@query(None)
+#: Waves and their copies at a quarter of the level in eight bits, by id; fits and residuals of the pairs ``p``.
+COPIES = f"""waved AS (SELECT user_id, list_transform(r, lambda x: x / greatest(peak, 1e-9)) AS v FROM ({WAVES})),
+    s AS (SELECT user_id * 2 AS id, 16 AS depth, v FROM waved UNION ALL SELECT user_id * 2 + 1, 8, list_transform(v, lambda x: round_even(x * 0.25 * 128, 0) / 128) FROM waved)"""
+GAINS = """g AS (SELECT *, list_sum(list_transform(range(1, n + 1), lambda i: x[i] * y[i])) / nullif(list_sum(list_transform(range(1, n + 1), lambda i: x[i] * x[i])), 0) AS gain FROM p),
+    e AS (SELECT a, b, depth, gain, n, list_transform(range(1, n + 1), lambda i: y[i] - gain * x[i]) AS rest FROM g WHERE abs(gain) BETWEEN 0.1 AND 10),
+    q AS (SELECT *, sqrt(list_sum(list_transform(rest, lambda z: z * z)) / n) AS rms FROM e)"""
+LIKE_COPIES = f"""WITH {COPIES},
+    {SPECTRA.format("SELECT id AS user_id, v AS r, 1.0 AS peak, len(v) AS n FROM s")},
+    l AS (SELECT s.id, s.depth, s.v, z.shape FROM s JOIN (SELECT user_id AS id, list(shape ORDER BY place) AS shape FROM prints GROUP BY 1) z USING (id)),
+    p AS (SELECT a.id AS a, b.id AS b, least(a.depth, b.depth) AS depth, a.v AS x, b.v AS y, least(len(a.v), len(b.v)) AS n FROM l a JOIN l b ON a.id < b.id WHERE abs(len(a.v) - len(b.v)) <= 32 AND list_dot_product(a.shape, b.shape) >= 0.98),
+    {GAINS},
+    c AS (SELECT a, b, round(gain, 4) AS gain, round(greatest(0.0, 1 - rms / (0.02 * pow(2.0, 8 - depth))), 4) AS confidence FROM q)
+    SELECT *, CASE WHEN a % 2 <> b % 2 AND abs(gain - 1) <= 0.05 THEN 'bit_depth_variant' ELSE 'amplification_variant' END AS relation FROM c WHERE confidence >= 0.5"""
+
+
+@query(LIKE_COPIES)
 def gain_pairs(spark, d):
     """Waves and their copies at a quarter of the level: pairs of near lengths and like fingerprints, then the gain score."""
-    w = waves(spark, d)
-    soft = w.select((F.col("user_id") * 2 + 1).alias("id"), F.lit(8).alias("depth"), F.transform("wave", lambda v: F.bround(v * 0.25 * 128) / 128).alias("wave"))
-    rows = materialize(w.select((F.col("user_id") * 2).alias("id"), F.lit(16).alias("depth"), "wave").unionByName(soft), "waves")
-    prints = rows.select("id", signal.shape_print(F.col("wave")).alias("v"), F.size("wave").alias("length"))
+    loud = wave_frames(spark, d).select((F.col("user_id") * 2).alias("id"), "i", "x")
+    soft = loud.select((F.col("id") + 1).alias("id"), "i", (F.bround(F.col("x") * 0.25 * 128) / 128).alias("x"))
+    rows = materialize(loud.unionByName(soft), "waves")
+    sizes = rows.groupBy("id").agg(F.count("*").alias("n")).withColumn("depth", F.when(F.col("id") % 2 == 0, 16).otherwise(8))
+    prints = waveforms.fingerprints(rows, "id").join(sizes, "id").select("id", F.col("shape").alias("v"), F.col("n").alias("length"))
     pairs = sim.self_join(prints, "id", "v", 0.98, ["length"], sim.gain_candidates)
-    frames = rows.select("id", F.posexplode("wave").alias("i", "x"))
-    scored = variants.gain_scores(pairs, frames, rows.select("id", F.size("wave").alias("n"), "depth"))
+    scored = variants.gain_scores(pairs, rows, sizes)
     out = scored.select("a", "b", F.round("gain", 4).alias("gain"), F.round("confidence", 4).alias("confidence"))
     return out.withColumn("relation", signal.relation(F.col("gain"), F.col("confidence"), F.col("a") % 2 != F.col("b") % 2)).where("relation is not null")

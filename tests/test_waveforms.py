@@ -2,9 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tonelake import queries_sources
 from tonelake.functions import signal
 from tonelake.operators import waveforms
-from tonelake.queries import QUERIES
 
 
 def by_key(df):
@@ -77,6 +77,6 @@ def test_null_key_and_no_rows(spark, rows):
 
 def test_plans_hold_no_python_and_no_whole_waveform(spark, sf_dir):
     for name in ("wave_without_constant", "wave_at_points", "wave_an_octave_up", "wave_in_eight_bits"):
-        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        plan = getattr(queries_sources, name)(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         for word in ("Python", "Arrow", "collect_list", "SinglePartition", "NestedLoop", "Cartesian"):
             assert word not in plan, (name, word)

@@ -130,8 +130,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``kept`` is the ``rid`` (hash of id and text) of the component's first row, by doc_id and then by ``rid``.
     ``component_id`` is the smallest doc_id reachable over links of ``distance`` differing bits at most. Null and
     empty texts have fingerprint zero and are linked like any other; a null doc_id keeps its row and counts only if
-    its component has no other id. Repeated rows stay repeated. An empty table gives an empty result; other columns
-    of ``docs`` are not read.
+    its component has no other id. Repeated rows stay repeated. A very long text holds the hashes of all its shingles
+    while it is read. An empty table gives an empty result; other columns of ``docs`` are not read.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     least = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("least"))

@@ -1,13 +1,13 @@
-"""SentencePiece encoding and decoding as shortest paths through a weighted transducer.
+"""SentencePiece encoding and decoding as paths over the pieces of a model.
 
-Three transducers are compiled from the model file. The normaliser writes the space sign and the leading dummy space.
-The piece transducer has an arc for every piece. Byte fallback gives every other character a path through byte
-pieces. A text is composed with them position by position and the path of least weight in the tropical semiring wins.
+The normaliser writes the space sign and the leading dummy space; models with a character map are refused. Every piece is
+an arc, and every other character goes through byte pieces. No transducers are composed as such: the arcs are looked up
+position by position, in a set or a tree of the pieces.
 
-The weights are the model's. In a unigram model an arc weighs the piece's negative log-probability. In a BPE model a
-piece may follow another only where merging their joint text leaves the boundary between them; other transitions weigh
-infinity. Since merges on both sides of a boundary that stays are independent, exactly one path of finite weight is
-left at every position, and it is the one that merging finds.
+In a unigram model an arc weighs the piece's negative log-probability and the path of least weight wins, position by
+position. In a BPE model a piece may follow another only where merging their joint text leaves the boundary between them;
+the path is found by a depth-first search, and by plain merging should the search find none. Since merges on both sides
+of a boundary that stays are independent, exactly one path is left, and it is the one that merging finds.
 
 Piece texts never hold certain neighbouring characters (a letter before the space sign, say). Paths split there, so
 texts are composed word by word and words seen before are remembered, up to a bound.
@@ -298,7 +298,8 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     """``(doc_id, n_tokens, ids, lossless)``, one row per input row: ids, and whether they decode to the text again.
 
     Null and empty texts have no ids and are lossless as the empty text. The space sign itself (U+2581) decodes to a
-    space, as the model has it. Null ids and repeated rows are kept; other columns are not read.
+    space, as the model has it. Null ids and repeated rows are kept; other columns are not read. Very long texts go through
+    whole, word by word, so their ids are one row. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spark = docs.sparkSession

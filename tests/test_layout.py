@@ -48,3 +48,13 @@ def test_preservation(spark):
     assert good.stress == pytest.approx(0, abs=1e-6) and good.correlation == pytest.approx(1) and good.trustworthiness == 1
     bad = layout.preservation(pairs, same.withColumn("x", F.pmod(F.col("item") * 7, F.lit(11)).cast("double"))).first()
     assert bad.stress > 0.3 and bad.correlation < 0.9 and bad.trustworthiness < 0.95
+
+
+def test_only_the_landmarks_in_use_are_met(spark):
+    points = np.random.default_rng(3).normal(size=(40, 2))
+    rows = table(spark, points, range(0, 40, 2))
+    names = layout.landmarks_of(rows, landmarks=6)
+    assert len(names) == 6
+    want = {r["item"]: (r.x, r.y) for r in layout.landmark_layout(rows, landmarks=6).collect()}
+    got = {r["item"]: (r.x, r.y) for r in layout.landmark_layout(rows.where(F.col("landmark").isin(names)), landmarks=6).collect()}
+    assert got == want

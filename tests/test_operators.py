@@ -173,3 +173,14 @@ def test_join_refuses_unknown_keys_and_summaries_merge(spark):
     assert [tuple(r) for r in rel.complete_join(a.where("k = 1"), b, "k").collect()] == [(1, "x")]
     parts = [spark.createDataFrame([(3, ["b", "a"])], "n int, bad array<string>"), spark.createDataFrame([(4, ["b"])], "n int, bad array<string>")]
     assert [tuple(r) for r in rel.summed(parts, ["n"], ["bad"]).collect()] == [(7, ["a", "b"])]
+
+
+def test_alike_items_are_compared_once(spark):
+    kinds = [[["A", "B"]], [["A", "B"], ["C"]], [["C"]], [["D"]], []]
+    items = spark.createDataFrame([(i, kinds[i % 5]) for i in range(60)], "id long, paths array<array<string>>")
+    out = rel.label_agreements(items.where("id % 4 = 0"), items, "id", "paths", 3)
+    sets = [{"A", "A: B"}, {"A", "A: B", "C"}, {"C"}, {"D"}, set()]
+    want = {(a, b, round(len(x & y) / len(x | y), 3)) for a in range(0, 60, 4) for b in range(60) if a != b for x, y in [(sets[a % 5], sets[b % 5])] if x & y}
+    assert {tuple(r) for r in out.collect()} == want
+    joined = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_path" not in joined  # members meet by class, not by every path that they share

@@ -80,3 +80,18 @@ def test_plans_hold_no_python_and_no_whole_waveform(spark, sf_dir):
         plan = getattr(queries_sources, name)(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         for word in ("Python", "Arrow", "collect_list", "SinglePartition", "NestedLoop", "Cartesian"):
             assert word not in plan, (name, word)
+
+
+def test_spectra_of_one_size_are_taken_at_once(monkeypatch):
+    import pandas as pd
+
+    rng, calls, rfft = np.random.default_rng(4), [], np.fft.rfft
+    sizes = [16] * 50 + [17] * 30 + [40] * 20
+    waves = [rng.normal(size=n - i % 3) for i, n in enumerate(sizes)]
+    monkeypatch.setattr(np.fft, "rfft", lambda *a, **k: (calls.append(1), rfft(*a, **k))[1])
+    got = waveforms._bands(pd.Series(waves), pd.Series(sizes))
+    assert len(calls) == 3
+    for w, n, v in zip(waves, sizes, got):
+        power = np.abs(rfft(w, n)) ** 2
+        want = [np.sqrt(power[a:b].sum()) for edges in waveforms._edges(len(power)) for a, b in zip(edges, edges[1:])]
+        assert np.allclose(v, want, atol=1e-9)

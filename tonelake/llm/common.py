@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Callable, Iterator
 
@@ -23,8 +24,16 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def give_back() -> None:
+    """Return freed memory to the system: the buffers that Arrow's allocator keeps, and those that the C library's keeps (Linux)."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run``, a function over batches, so that a task gives back the freed buffers its allocator keeps when it ends.
+    """``run``, a function over batches, so that a task gives back what its allocators keep when it ends.
 
     Workers live on after a task, and what they keep stands beside the next stage in the executor's memory.
     """
@@ -34,11 +43,18 @@ def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return task
 
 
+def parts(batches: Iterator, rows: int = 256) -> Iterator:
+    """The same rows in small batches or arrays: Python strings and hashes take more room than the Arrow texts they come from."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
     """``(doc_id, rid, text)``: null texts become empty; ``rid`` is a hash of id and text. ``carry``: ``row`` has the whole row.
 

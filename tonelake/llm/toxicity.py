@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.llm.common import released
+from tonelake.llm.common import give_back, parts, released
 from tonelake.sources.shared import discard, materialize
 
 BUCKET_BITS = 18
 SIZES = (4, 5, 6)
-CHUNK_CHARS = 1 << 19
+CHUNK_CHARS = 1 << 17
 _GAP = " " * max(SIZES)
 _FACTOR, _MIX = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15
 
@@ -97,7 +97,7 @@ def _sample(docs: DataFrame, labels: DataFrame, train: Column, rows: int) -> Dat
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, 1 << BUCKET_BITS), np.int64)
-    for batch in batches:
+    for batch in parts(batches):
         toxic = batch.column(1).to_numpy(zero_copy_only=False)
         at = 0
         for run in chunks([t or "" for t in batch.column(0).to_pylist()]):
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, sample_
     keep[chosen["bucket"]] = True
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             labels_, at = batch.column(1).to_numpy(zero_copy_only=False), 0
             for run in chunks([t or "" for t in batch.column(0).to_pylist()]):
                 row, bucket = features(run, keep)
@@ -158,10 +158,14 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, sample_
     order = dict(zip(chosen["bucket"].tolist(), range(len(chosen))))
     ratio = chosen["ratio"].to_numpy(float)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    def solved(pdf: pd.DataFrame) -> np.ndarray:
         rows = np.repeat(np.arange(len(pdf)), pdf["buckets"].map(len))
         cols = np.array([order[b] for one in pdf["buckets"] for b in one], np.int64)
-        w = _solve(rows, cols, ratio[cols], pdf["toxic"].to_numpy(float), len(pdf), len(ratio), l2, steps)
+        return _solve(rows, cols, ratio[cols], pdf["toxic"].to_numpy(float), len(pdf), len(ratio), l2, steps)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        w = solved(pdf)
+        give_back()
         return pd.DataFrame({"w": [w.tolist()]})
 
     # One group, of sample_rows rows at most.
@@ -175,16 +179,17 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     """``docs`` with a column ``out`` (0 to 1, higher: likelier toxic); null texts count as empty."""
     keep = model.weights != 0
 
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in texts:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
             sums = []
-            for part in chunks([t or "" for t in series]):
-                row, bucket = features(part, keep)
-                sums.append(np.bincount(row, model.weights[bucket].astype(float), len(part)))
+            for small in parts([texts]):
+                for part in chunks([t or "" for t in small.to_pylist()]):
+                    row, bucket = features(part, keep)
+                    sums.append(np.bincount(row, model.weights[bucket].astype(float), len(part)))
             z = np.clip((np.concatenate(sums) if sums else np.zeros(0)) + model.bias, -40, 40)
-            yield pd.Series(1 / (1 + np.exp(-z)))
+            yield pa.array(1 / (1 + np.exp(-z)))
 
-    return docs.withColumn(out, F.pandas_udf(released(run), "double")(F.col(text_col)))
+    return docs.withColumn(out, F.arrow_udf(released(run), "double")(F.col(text_col)))
 
 
 def held_out(doc_id: Column) -> Column:

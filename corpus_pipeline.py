@@ -40,6 +40,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with five-word shingles similar by 0.8 or more stays, the one with the smallest doc_id.
+    SimHash fingerprints within two bits give the first links, each checked on the whole sets; what they leave apart is completed by a prefix join.
     Texts without words are one group, and so are repeated rows."""
     return shingles.one_of_each(docs)
 

@@ -2,9 +2,12 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tonelake.llm import shingles
+from tests.llm.test_simhash import brute_print
+from tonelake.llm import shingles, simhash
+from tonelake.llm.common import keyed
 
 
 def brute_set(text, n=5):
@@ -80,3 +83,37 @@ def test_stage_against_brute_force(spark, folder):
     want, pairs = brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
     assert kept(corpus_pipeline.keep_one_of_near_duplicates(spark, docs, f"/root/testdata/{folder}")) == want
     assert folder == "sf0.001" or len(pairs) >= 5
+
+
+def test_simhash_gives_links_and_the_join_the_others(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    rows = []
+    for base in range(6):
+        words = [word() for _ in range(1500)]
+        for at in (None, 1, 2, 3, 4):  # one word more at the end changes a shingle or so, and seldom over two bits
+            rows.append((len(rows), " ".join(words + [word() for _ in range(at or 0)])))
+        rows.append((len(rows), " ".join(words[60:])))
+    want, pairs = brute(rows)
+    assert len(want) == 6
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = shingles.prefixes(keyed(docs, "doc_id", "text").withColumn("text", F.col("text").cast("binary")))
+    ids = {r.sid: (r.doc_id, r.fp & (2**64 - 1)) for r in prints.collect()}
+    assert all(fp == brute_print(rows[d][1], 5) for d, fp in ids.values())  # these shingles do not repeat
+    near = {frozenset((a, b)) for a, x in ids.values() for b, y in ids.values() if a < b and bin(x ^ y).count("1") <= 2}
+    root = {d: d for d, _ in rows}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    got = shingles._by_simhash(prints.select("sid", "fp")).collect()
+    for r in got:
+        assert frozenset((ids[r.src][0], ids[r.dst][0])) in near
+        root[find(ids[r.src][0])] = find(ids[r.dst][0])
+    assert near and all(find(a) == find(b) for a, b in map(tuple, near))
+    assert any(find(a) != find(b) for a, b in pairs)  # left to the join
+    asked, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a, **b: asked.append(a) or links(*a, **b))
+    assert kept(corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "")) == want and asked

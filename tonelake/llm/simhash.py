@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.llm.common import keyed
+from tonelake.llm.common import keyed, released
 from tonelake.plans.graph import connected_components
 from tonelake.plans.joins import join_back
 from tonelake.sources.shared import materialize
@@ -45,14 +45,18 @@ def shingle_hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
     return np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops)], np.uint64)
 
 
-def fingerprint(text: bytes, shingle: int, seed: int) -> int:
-    """SimHash of the ``shingle``-word shingles of UTF-8 bytes, as an unsigned number; no words: 0."""
-    hashes = shingle_hashes(text, shingle, seed)
+def voted(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as an unsigned number; no hashes: 0."""
     n = len(hashes)
     votes = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, shingle: int, seed: int) -> int:
+    """SimHash of the ``shingle``-word shingles of UTF-8 bytes, as an unsigned number; no words: 0."""
+    return voted(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = 42) -> DataFrame:
     """``(doc_id, rid, fp)`` for every row: ``fp`` as a signed long, ``rid`` a hash of id and text (see keyed())."""
 
@@ -63,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = keyed(docs, id_col, text_col).withColumn("text", F.col("text").cast("binary"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, rid long, fp long")
+    return rows.mapInArrow(released(run), f"doc_id {kind}, rid long, fp long")
 
 
 def grid_cells(fps: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataFrame:
@@ -115,12 +119,12 @@ def links(fps: DataFrame, distance: int = 2, cell_rows: int = CELL_ROWS) -> Data
             src, dst = zip(*pairs) if pairs else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
-    ordinary = met.where(F.col("n") <= cell_rows).groupBy("cell").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(run, "src long, dst long")
+    ordinary = met.where(F.col("n") <= cell_rows).groupBy("cell").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(released(run), "src long, dst long")
     # Segments of one bit: the cells of a fingerprint are itself and its 64 one-bit changes.
     crowded = met.where(F.col("n") > cell_rows).select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.shiftleft(F.lit(1).cast("long"), b) for b in range(64)])
     fine = crowded.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("cell"))
-    hub = fine.groupBy("cell").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps").mapInArrow(run, "src long, dst long")
+    hub = fine.groupBy("cell").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps").mapInArrow(released(run), "src long, dst long")
     return ordinary.unionByName(hub).distinct()
 
 

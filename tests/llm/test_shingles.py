@@ -117,3 +117,14 @@ def test_simhash_gives_links_and_the_join_the_others(spark, monkeypatch):
     asked, links = [], simhash.links
     monkeypatch.setattr(simhash, "links", lambda *a, **b: asked.append(a) or links(*a, **b))
     assert kept(corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "")) == want and asked
+
+
+def test_what_an_explode_makes_is_not_broadcast(spark, monkeypatch):
+    """Spark takes exploded keys to be as small as the sets: at 0.5 GB it broadcast 7.3 million of them."""
+    plans, store = {}, shingles.materialize
+    monkeypatch.setattr(shingles, "materialize", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and store(df, name))
+    docs = spark.createDataFrame([(i, f"some words that stand here {'again and' if i % 2 else 'once more'} to make {i} shingles or so") for i in range(40)], "doc_id long, text string")
+    assert kept(shingles.one_of_each(docs)) == brute([(r.doc_id, r.text) for r in docs.collect()])[0]
+    assert "Generate" in plans["met"] and "Broadcast" not in plans["met"]
+    cells = simhash.links(spark.range(40).withColumnRenamed("id", "fp"))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in cells and "Broadcast" not in cells

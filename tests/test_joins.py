@@ -16,3 +16,13 @@ def test_join_back_keeps_nulls_and_shuffles_both_sides(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 3
+
+
+def test_a_large_table_is_never_broadcast_by_estimate(spark):
+    from tonelake.plans import joins
+
+    rows, groups = spark.range(20).withColumnRenamed("id", "k"), spark.range(5).withColumnRenamed("id", "k")
+    plan = lambda df: df.join(groups, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(joins.unless_few(rows)) and "BroadcastHashJoin" in plan(joins.unless_few(rows, joins.FEW_ROWS))
+    for df in (joins.shuffled(rows), joins.unless_few(rows, joins.FEW_ROWS + 1)):
+        assert "SortMergeJoin" in plan(df) and "Broadcast" not in plan(df) and df.join(groups, "k").count() == 5

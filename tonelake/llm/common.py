@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonelake.plans.joins import shuffled
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,8 +22,8 @@ BROADCAST_ROWS = 500_000
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df``, a stored table of ids and hashes, to be broadcast if its rows are counted few enough; else as it is."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df``, a stored table of ids and hashes, to be broadcast if its rows are counted few enough; else its join shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else shuffled(df)
 
 
 def give_back() -> None:

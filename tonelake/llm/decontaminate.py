@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonelake.llm.common import BROADCAST_ROWS, keyed, same
+from tonelake.plans.joins import shuffled
 from tonelake.sources.shared import materialize
 
 WINDOW = 8
@@ -106,7 +107,7 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
     # That word is no slot: it is hashed as a name, but has no value to follow, unless all values have to be the same.
     at = at.withColumn("canon", F.when(F.col("inside") & ~F.col("exact"), F.concat(F.array(F.lit("")), F.slice("canon", 2, WINDOW))).otherwise(F.col("canon"))).drop("inside")
     counts = at.groupBy("item_id", "irid").agg(F.countDistinct("bpos").alias("n_windows"))
-    return at.alias("a").join(counts.alias("b"), F.col("a.item_id").eqNullSafe(F.col("b.item_id")) & (F.col("a.irid") == F.col("b.irid"))).select("a.*", "n_windows")
+    return shuffled(at).alias("a").join(counts.alias("b"), F.col("a.item_id").eqNullSafe(F.col("b.item_id")) & (F.col("a.irid") == F.col("b.irid"))).select("a.*", "n_windows")
 
 
 def _plain(token: Column) -> Column:
@@ -137,7 +138,7 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = 0.6, id_co
     if not lengths:
         kind = docs.schema[id_col].dataType.simpleString()
         return docs.sparkSession.createDataFrame([], f"doc_id {kind}, rid long, item_id {items.schema['item_id'].dataType.simpleString()}, coverage double, n_slots int, n_changed int")
-    few = F.broadcast if sum(lengths.values()) <= broadcast_windows else lambda x: x
+    few = F.broadcast if sum(lengths.values()) <= broadcast_windows else shuffled
     rows = keyed(docs, id_col, text_col)
     # Only hashes and places are exploded; windows of all lengths stand one after the other.
     hashed = _with_runs(rows.select("doc_id", "rid", _tokens(spaced(F.col("text"))).alias("t"))).withColumn("size", F.size("t"))
@@ -153,7 +154,7 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = 0.6, id_co
     # Few documents have hits: the table is broadcast while they are counted few enough.
     at = materialize(at.groupBy("doc_id", "rid").agg(F.collect_set("hit").alias("hits")), "hits")
     n_hits = at.agg(F.coalesce(F.sum(F.size("hits")), F.lit(0))).first()[0]
-    at = F.broadcast(at) if n_hits <= BROADCAST_ROWS else at
+    at = F.broadcast(at) if n_hits <= BROADCAST_ROWS else shuffled(at)
     # The values in the slots come from the texts of the documents with hits, split once for each document.
     both = rows.alias("a").join(at.alias("b"), same("doc_id", "rid")).select("a.doc_id", "a.rid", "b.hits", _raw_tokens(spaced(F.col("a.text"))).alias("raw"))
     values = F.transform("hits", lambda h: F.struct(h["w"].alias("w"), h["length"].alias("length"), h["pos"].alias("pos"), F.slice("raw", h["pos"] + 1, h["length"]).alias("raw")))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonelake.llm.common import keyed, same
-from tonelake.plans.joins import join_back
+from tonelake.plans.joins import join_back, shuffled, unless_few
 from tonelake.sources.shared import discard, materialize
 
 MIN_CHARS = 50
@@ -78,14 +78,14 @@ def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``(doc_id, rid, line, m)``: runs of ``m`` lines that start at ``line`` and have an earlier copy; their union is that
     of the maximal repeated runs. ``docs``: see keyed()."""
     lines = materialize(_lines(docs, min_chars), "lines")
-    ranks = materialize(_ranked(lines, ["h", "g"], [*_KEEP, "inner"]), "ranks")
+    ranks = materialize(_ranked(unless_few(lines), ["h", "g"], [*_KEEP, "inner"]), "ranks")
     discard(lines)
     later = [ranks.where((F.col("lo") == 1) & _later()).select(*_AT, F.lit(1).alias("m"))]
     k, old = 1, [ranks]
     # A document listed twice is one document: from here on each position is there once.
     now = ranks.where("inner").drop("inner").dropDuplicates([*_AT])
     while ranks.where(F.col("deep") >= 2 * k).limit(1).count():
-        pairs = now.where(F.col("deep") >= 2 * k).alias("a").join(now.alias("b"), same("doc_id", "rid") & (F.col("a.line") + k == F.col("b.line")))
+        pairs = unless_few(now, ranks.count()).where(F.col("deep") >= 2 * k).alias("a").join(now.alias("b"), same("doc_id", "rid") & (F.col("a.line") + k == F.col("b.line")))
         pairs = pairs.select(*[F.col(f"a.{c}").alias(c) for c in _KEEP], F.col("a.first").alias("head"), F.col("b.first").alias("tail"))
         now = ranks = materialize(_ranked(pairs, ["head", "tail"], _KEEP), "ranks")
         old.append(ranks)
@@ -93,7 +93,7 @@ def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         asked = (F.col("lo") > 0) & (F.col("lo") < 2 * k) & (F.col("hi") >= k)
         later.append(ranks.where(asked & (F.col("lo") <= k) & _later()).select(*_AT, F.lit(k).alias("m")))
         longer = ranks.where(asked & (F.col("hi") > k)).withColumn("m", F.explode(F.sequence(F.greatest(F.col("lo"), F.lit(k + 1)), F.least(F.col("hi"), F.lit(2 * k - 1)))))
-        ends = longer.alias("a").join(ranks.alias("b"), same("doc_id", "rid") & (F.col("a.line") + F.col("a.m") - k == F.col("b.line")))
+        ends = shuffled(longer).alias("a").join(ranks.alias("b"), same("doc_id", "rid") & (F.col("a.line") + F.col("a.m") - k == F.col("b.line")))
         runs = ends.select(*[F.col(f"a.{c}").alias(c) for c in (*_AT, "m")], F.col("a.first").alias("head"), F.col("b.first").alias("tail"))
         later.append(_ranked(runs, ["m", "head", "tail"], [*_AT, "m"]).where(_later()).drop("first"))
     found = later[0]

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tonelake.llm import simhash
 from tonelake.llm.common import keyed, parts, released, same, small
 from tonelake.plans.graph import connected_components
-from tonelake.plans.joins import join_back
+from tonelake.plans.joins import join_back, shuffled, unless_few
 from tonelake.sources.shared import discard, materialize
 
 #: At most so many shingles, found in four or more documents of a sixteenth, come last in the order.
@@ -133,7 +133,7 @@ def _near(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``(src, dst)`` whose prefixes have enough in common."""
     pairs = materialize(pairs, "pairs")
     ends = materialize(_ends(pairs), "ends")
-    both = _joined(pairs, sets.join(small(ends), "sid", "left_semi"), "n", "prefix")
+    both = _joined(unless_few(pairs), sets.join(small(ends), "sid", "left_semi"), "n", "prefix")
     enough = _enough(F.size(F.array_intersect("a.prefix", "b.prefix")), F.col("a.n"), F.col("b.n"), similarity)
     near = materialize(both.where(enough).select("src", "dst"), "near")
     discard(pairs)
@@ -145,7 +145,7 @@ def _verified(near: DataFrame, sets: DataFrame, rows: DataFrame, similarity: flo
     """The pairs ``(src, dst)`` of sets that are similar enough as a whole. ``near`` is a stored table."""
     named = materialize(sets.select("sid", "least.doc_id", "least.rid").join(_ends(near), "sid"), "named")
     whole = materialize(_whole_sets(rows, named, shingle, seed), "whole")
-    both = _joined(near, whole, "s")
+    both = _joined(unless_few(near), whole, "s")
     common = F.size(F.array_intersect("a.s", "b.s"))
     found = materialize(both.where(common / (F.size("a.s") + F.size("b.s") - common) >= similarity).select("src", "dst"), "links")
     for t in (near, named, whole):
@@ -179,7 +179,7 @@ def links(sets: DataFrame, rows: DataFrame, similarity: float = 0.8, shingle: in
     """
     keys = sets.select("sid", "n", F.posexplode("prefix").alias("i", "key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
-    met = materialize(join_back(keys, shared, ["key"]).select("key", "sid", "n", "i"), "met")
+    met = materialize(join_back(shuffled(keys), shared, ["key"]).select("key", "sid", "n", "i"), "met")
     found = _verified(_near(_by_simhash(sets), sets, similarity), sets, rows, similarity, shingle, seed)
     apart = _apart(met, found)
     discard(met)
@@ -187,14 +187,14 @@ def links(sets: DataFrame, rows: DataFrame, similarity: float = 0.8, shingle: in
     hashed = F.xxhash64(F.pmod("key", F.lit(STARS)), "sid")
     for first in (hashed, *[F.struct("i", F.xxhash64(F.lit(salt), "key", "sid")) for salt in range(ROUNDS)]):
         chosen = apart.groupBy("key").agg(F.min(F.struct(first.alias("first"), "sid", "n", "i", "part")).alias("star"))
-        stars = join_back(apart, chosen, ["key"]).select(F.struct("sid", "n", "i", "part").alias("a"), F.col("star").alias("b")).where("a.part <> b.part").where(_possible(similarity))
+        stars = join_back(unless_few(apart), chosen, ["key"]).select(F.struct("sid", "n", "i", "part").alias("a"), F.col("star").alias("b")).where("a.part <> b.part").where(_possible(similarity))
         stars = stars.select(F.least("a.sid", "b.sid").alias("src"), F.greatest("a.sid", "b.sid").alias("dst")).distinct()
         found = found.unionByName(_verified(_near(stars, sets, similarity), sets, rows, similarity, shingle, seed))
         fewer = _apart(apart.drop("part"), found)
         discard(apart)
         apart = fewer
     # What is possible at a key that two sets share is possible at the first one, too, so late places make no rows here.
-    rest = apart.alias("a").join(apart.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.sid") < F.col("b.sid")) & (F.col("a.part") != F.col("b.part")) & _possible(similarity))
+    rest = unless_few(apart).alias("a").join(apart.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.sid") < F.col("b.sid")) & (F.col("a.part") != F.col("b.part")) & _possible(similarity))
     rest = rest.select(F.col("a.sid").alias("src"), F.col("b.sid").alias("dst")).distinct()
     found = found.unionByName(_verified(_near(rest, sets, similarity), sets, rows, similarity, shingle, seed))
     discard(apart)
@@ -225,6 +225,7 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id"
     discard(sets)
     if twice.isEmpty():
         return kept.select("row.*")
+    twice = unless_few(twice)
     once = kept.alias("a").join(twice.alias("b"), same("doc_id", "rid"), "left_anti").select("row")
     again = kept.alias("a").join(twice.alias("b"), same("doc_id", "rid"), "left_semi").groupBy("doc_id", "rid").agg(F.first("row").alias("row")).select("row")
     return once.unionByName(again).select("row.*")

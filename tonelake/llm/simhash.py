@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tonelake.llm.common import keyed, released
 from tonelake.plans.graph import connected_components
-from tonelake.plans.joins import join_back
+from tonelake.plans.joins import join_back, shuffled
 from tonelake.sources.shared import materialize
 
 SEGMENT_BITS = 4
@@ -107,7 +107,7 @@ def links(fps: DataFrame, distance: int = 2, cell_rows: int = CELL_ROWS) -> Data
         raise ValueError("a shared neighbouring cell is certain for distances up to 2 only")
     cells = grid_cells(fps)
     counts = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    met = join_back(cells, counts, ["cell"])
+    met = join_back(shuffled(cells), counts, ["cell"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -58,3 +58,16 @@ def test_only_the_landmarks_in_use_are_met(spark):
     want = {r["item"]: (r.x, r.y) for r in layout.landmark_layout(rows, landmarks=6).collect()}
     got = {r["item"]: (r.x, r.y) for r in layout.landmark_layout(rows.where(F.col("landmark").isin(names)), landmarks=6).collect()}
     assert got == want
+
+
+def test_distances_are_not_stored(spark, monkeypatch):
+    monkeypatch.setattr(layout, "materialize", lambda df, name: pytest.fail(f"{name} are stored"))
+    points = np.random.default_rng(4).normal(size=(30, 2))
+    for diagonal in (True, False):  # half of the landmarks' own distances are there, or none
+        rows = table(spark, points, range(0, 30, 3), diagonal).where("item <> landmark or item % 2 = 0")
+        out = layout.landmark_layout(rows)
+        assert "LeftAnti" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {r["item"]: (r.x, r.y) for r in out.collect()}
+        want = np.linalg.norm(points[:, None] - points[None], axis=2)
+        at = np.array([got[i] for i in range(30)])
+        assert np.allclose(np.linalg.norm(at[:, None] - at[None], axis=2), want, atol=1e-6)

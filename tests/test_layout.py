@@ -71,3 +71,46 @@ def test_distances_are_not_stored(spark, monkeypatch):
         want = np.linalg.norm(points[:, None] - points[None], axis=2)
         at = np.array([got[i] for i in range(30)])
         assert np.allclose(np.linalg.norm(at[:, None] - at[None], axis=2), want, atol=1e-6)
+
+
+@pytest.mark.parametrize("scale", [1.0, 40.0])
+def test_preservation_by_blocks_as_over_pairs(spark, monkeypatch, scale):
+    for name, n in dict(RANKED=150, RANKED_QUERIES=7, RANKED_ITEMS=16).items():
+        monkeypatch.setattr(layout.blocks, name, n)
+    points = np.random.default_rng(6).normal(size=(60, 4)).round(1) * scale
+    points[40:] = points[:20]  # copies, so that distances tie
+    items = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "item long, v array<double>")
+    at = spark.createDataFrame([(i, float(x), float(round(y))) for i, (x, y) in enumerate(points[:, :2]) if i != 8], "item long, x double, y double")
+    pairs = table(spark, points, range(0, 60, 2)).where("item <> landmark").withColumnRenamed("landmark", "query").withColumn("distance", F.round("distance", 9))
+    want = layout.preservation(pairs, at).first()
+    out = layout.preservation_of_vectors(items, at, F.col("item") % 2 == 0)
+    got = out.first()
+    assert tuple(got) == pytest.approx(tuple(want), abs=1e-12) and 0.1 < got.correlation < 0.99
+    none = layout.preservation_of_vectors(items, at.limit(1), F.col("item") % 2 == 0).select("stress", "correlation").first()
+    assert tuple(none) == (None, None)
+
+
+def test_pairs_are_no_rows_of_a_layout(spark, sf_dir):
+    from tests.test_queries import plan
+    from tonelake import queries
+
+    stored, keep = [], layout.materialize
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(layout, "materialize", lambda df, name: stored.append(name) or keep(df, name))
+        found = plan(queries.QUERIES["layout_preservation"](spark, sf_dir))
+    assert "pairs" not in stored and "Window [row_number" not in found
+
+
+def test_distances_to_landmarks_as_by_columns(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=5).tolist()) for i in range(300)] + [(900, None), (902, [1.0, None, 1.0, 1.0, 1.0]), (903, [float("nan")] * 5)]
+    items = spark.createDataFrame(rows, "item long, v array<double>")
+    got = layout.distances_to(items, "item", "v", [0, 7, 299])
+    marks = items.where("item in (0, 7, 299)").select(F.col("item").alias("landmark"), F.col("v").alias("w"))
+    want = items.where("item <> 900").crossJoin(marks).select("landmark", "item", layout.vectors.euclidean(F.col("v"), F.col("w")).alias("distance"))
+    key = lambda df: sorted(map(str, map(tuple, df.collect())))
+    assert key(got.where("item <> 900")) == key(want)
+    assert [r.distance for r in got.where("item = 900").collect()] == [None] * 3
+    assert layout.distances_to(items, "item", "v", []).collect() == []
+    with pytest.raises(Exception, match="differ in length"):
+        layout.distances_to(items.withColumn("v", F.slice("v", 1, 5 - (F.col("item") % 2).cast("int"))), "item", "v", [0]).collect()

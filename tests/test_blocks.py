@@ -107,3 +107,14 @@ def test_rows_go_to_a_bounded_number_of_blocks(spark, monkeypatch):
     assert similarity._blocks(one, "id", "v", [], 10)[1] == 4
     x = np.array([[np.sin(i), np.cos(i)] for i in range(900)])
     assert joined.count() == (np.triu(x @ x.T, 1) >= 0.999).sum()
+
+
+def test_average_precision_in_rounds(items, monkeypatch):
+    """Each round is stored and its shuffles are gone before the next; the results are those of one round."""
+    q, i = sides(items, _label="label")
+    want, stored, keep = rows(blocks.average_precision(q, i, 5)), [], blocks.materialize
+    monkeypatch.setattr(blocks, "ROUND", q.count() * i.count() * blocks.PAIR_BYTES / 3)
+    monkeypatch.setattr(blocks, "materialize", lambda df, name: stored.append(keep(df, name)) or stored[-1])
+    assert rows(blocks.average_precision(q, i, 5)) == want and len(want) > 3
+    assert len(stored) == 3 and sum(1 for s in stored if 0 < s.count() < len(want)) > 1
+    assert q.sparkSession.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

@@ -95,3 +95,23 @@ def test_spectra_of_one_size_are_taken_at_once(monkeypatch):
         power = np.abs(rfft(w, n)) ** 2
         want = [np.sqrt(power[a:b].sum()) for edges in waveforms._edges(len(power)) for a, b in zip(edges, edges[1:])]
         assert np.allclose(v, want, atol=1e-9)
+
+
+def test_copies_of_waves_are_scored_once(spark, sf_dir, tmp_path, monkeypatch):
+    import duckdb
+
+    from tests.oracle import check
+    from tonelake import queries_vectors as qv
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    copies = F.explode(F.array(*[F.struct((F.col("user_id") + F.lit(n) * i).alias("user_id"), (F.col("event_id") + F.lit(10**6) * i).alias("event_id")) for i, n in ((0, 100), (1, 100), (2, 100))]))
+    kinds = {c: events.schema[c].dataType for c in ("user_id", "event_id")}
+    three = events.withColumn("_c", copies).select(*[F.col(f"_c.{c}").cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in events.columns])
+    three.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    asked, scores = [], qv.variants.gain_scores
+    monkeypatch.setattr(qv.variants, "gain_scores", lambda pairs, *a: asked.append(pairs.count()) or scores(pairs, *a))
+    check(spark, con, str(tmp_path), qv.gain_pairs, qv.LIKE_COPIES)
+    waves = events.where("value is not null").select("user_id").distinct().count()
+    assert asked[0] < 2 * waves * 6  # a wave and its soft copy, three times each, have 15 pairs

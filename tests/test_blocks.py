@@ -118,3 +118,11 @@ def test_average_precision_in_rounds(items, monkeypatch):
     assert rows(blocks.average_precision(q, i, 5)) == want and len(want) > 3
     assert len(stored) == 3 and sum(1 for s in stored if 0 < s.count() < len(want)) > 1
     assert q.sparkSession.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_every_item_is_hashed_in_a_run():
+    """Items left without a hash tie at 0, and then every ranking is made again by one call for each text."""
+    sizes = np.char.str_len(np.arange(40_000).astype("S"))
+    runs = blocks._alike(sizes)
+    assert sorted(np.concatenate(runs).tolist()) == list(range(40_000))
+    assert all(len(r) <= 8192 and len(set(sizes[r].tolist())) == 1 for r in runs)
